@@ -1,10 +1,10 @@
-"""Name an intermediate value inside one Column expression."""
+"""Compute an intermediate value once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -13,3 +13,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     Lambdas are not code-generated, so this is for branches few rows take.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that filters downstream see as plain values.
+
+    A filter on a projected expression is pushed below the projection with the
+    expression copied into it, once per use. For the long expressions of parsing
+    and checking that means evaluating them again and a plan that grows with
+    every stage. Columns that leave a generator are not copied.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*kept, F.inline(F.array(packed)))

@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions.binding import evaluated
+
 MAX_BODY_BYTES = 4096
 
 
@@ -30,23 +32,28 @@ def read_object(df: DataFrame, text: str, strings: list[str], integers: list[str
     ``trailing`` for an object followed by more text, else NULL.
     """
     names = [*strings, *integers]
-    value = F.col("_json")
-    kind = F.col("_kind")
-    keyed = (
-        df.withColumn("_wrapped", parsed(F.col(text)))
-        .withColumn(
-            "_whole",
-            F.col("_wrapped").isNotNull()
-            & F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]"))).isNotNull(),
-        )
-        .withColumn("_json", F.coalesce(F.col("_wrapped"), F.try_parse_json(F.col(text))))
-        .withColumn("_kind", F.schema_of_variant(value))
-    )
     # The usual record has exactly the wanted fields with the wanted types.
     usual = "OBJECT<" + ", ".join(
         f"{n}: {'STRING' if n in strings else 'BIGINT'}" for n in sorted(names)
     ) + ">"
-    keyed = keyed.withColumn(
+    in_array = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))
+    read = evaluated(df, {"_wrapped": parsed(F.col(text))})
+    read = read.withColumns(
+        {
+            "_whole": F.col("_wrapped").isNotNull() & in_array.isNotNull(),
+            "_json": F.coalesce(F.col("_wrapped"), F.try_parse_json(F.col(text))),
+        }
+    )
+    read = evaluated(
+        read,
+        {
+            "_whole": F.col("_whole"),
+            "_json": F.col("_json"),
+            "_kind": F.schema_of_variant(F.col("_json")),
+        },
+    )
+    value, kind = F.col("_json"), F.col("_kind")
+    read = read.withColumn(
         "_fields",
         F.when(
             (kind != usual) & kind.startswith("OBJECT<"),
@@ -88,6 +95,6 @@ def read_object(df: DataFrame, text: str, strings: list[str], integers: list[str
     problem = F.when(value.isNull() | ~well_typed, "malformed").when(~F.col("_whole"), "trailing")
     out = {n: F.coalesce(field(n), F.lit("")) for n in strings}
     out |= {n: field(n).try_cast("bigint") for n in integers}
-    return keyed.withColumns({"json_problem": problem, **out}).drop(
+    return evaluated(read, {"json_problem": problem, **out}).drop(
         "_json", "_wrapped", "_whole", "_kind", "_fields"
     )

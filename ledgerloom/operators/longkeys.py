@@ -21,10 +21,14 @@ def long_keys(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 
 def with_segments(
-    rows: DataFrame, keys: list[str], order: str, segment_rows: int
+    rows: DataFrame, keys: list[str], order: str, segment_rows: int, cell_width: int | None = None
 ) -> DataFrame:
-    """Add ``segment``: 0, 1, ... in ``order``; fewer than ``2 * segment_rows`` rows each."""
-    cell = F.expr(f"{order} div {min(CELL_IDS, segment_rows)}L")
+    """Add ``segment``: 0, 1, ... in ``order``; at most ``segment_rows`` and one cell of rows each.
+
+    ``order`` is a bigint column. For unique ids the default cell is at most one
+    more segment; for a clock, ``cell_width`` says how many ticks make a cell.
+    """
+    cell = F.expr(f"{order} div {cell_width or min(CELL_IDS, segment_rows)}L")
     cells = rows.groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(
         Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions.binding import evaluated
 from ledgerloom.functions.amounts import amount_problem, in_bounds, parse_amount
 from ledgerloom.functions.jsonfields import MAX_BODY_BYTES, read_object
 from ledgerloom.functions.text import (
@@ -62,12 +63,13 @@ def _any_empty(names: list[str]) -> Column:
 
 def validate_rest(bodies: DataFrame, text: str = "value") -> DataFrame:
     """Request bodies to typed events; ``error`` holds the first failing rule or NULL."""
-    rows = read_object(bodies, text, STRING_FIELDS).withColumns(
+    rows = evaluated(
+        read_object(bodies, text, STRING_FIELDS),
         {
             "_quantity": parse_amount(F.col("quantity")),
             "_price": parse_amount(F.col("price")),
             "_at": parse_rfc3339(F.col("occurred_at")),
-        }
+        },
     )
     error = (
         F.when(
@@ -87,7 +89,7 @@ def validate_rest(bodies: DataFrame, text: str = "value") -> DataFrame:
         .when(F.col("_at").isNull(), BAD_OCCURRED_AT)
     )
     return (
-        rows.withColumn("error", error)
+        evaluated(rows, {"error": error})
         .withColumns(
             {
                 "event_id": F.when(F.col("error").isNull(), canonical_uuid(F.col("event_id")))
@@ -125,7 +127,7 @@ def validate_typed(events: DataFrame) -> DataFrame:
         .when(~F.year("occurred_at").between(1, 9999), BAD_TIMESTAMP)
     )
     return (
-        rows.withColumns({"error": error, "side": side})
+        evaluated(rows, {"error": error, "side": side})
         .withColumns(
             {
                 "event_id": F.when(F.col("error").isNull(), canonical_uuid(F.col("event_id")))
@@ -142,13 +144,14 @@ def decode_wire(records: DataFrame, text: str = "value") -> DataFrame:
 
     Tenant, instrument, side and currency are left to ``ledger_checks``.
     """
-    rows = read_object(records, text, STRING_FIELDS, ["schema_version"]).withColumns(
+    rows = evaluated(
+        read_object(records, text, STRING_FIELDS, ["schema_version"]),
         {
             "_quantity": parse_amount(F.col("quantity")),
             "_price": parse_amount(F.col("price")),
             "_at": parse_rfc3339(F.col("occurred_at")),
             "schema_version": F.coalesce("schema_version", F.lit(0).cast("bigint")),
-        }
+        },
     )
 
     def amount_reason(prefix: str, name: str, value: str) -> Column:
@@ -167,7 +170,7 @@ def decode_wire(records: DataFrame, text: str = "value") -> DataFrame:
         .when(F.col("_at").isNull(), BAD_WIRE_TIME)
     )
     return (
-        rows.withColumn("reason", reason)
+        evaluated(rows, {"reason": reason})
         .withColumns(
             {
                 "event_id": canonical_uuid(F.col("event_id")),
@@ -187,13 +190,13 @@ def ledger_checks(trades: DataFrame) -> DataFrame:
     The length of a value is checked before the named checks, and those run in
     the order of their names.
     """
-    return trades.withColumn(
-        "check_reason",
+    reason = (
         F.when(F.char_length("currency") > 3, TOO_LONG_CURRENCY)
         .when(~(F.col("price") > 0), PRICE_CHECK)
         .when(~(F.col("quantity") > 0), QUANTITY_CHECK)
-        .when(~F.col("side").isin("BUY", "SELL"), SIDE_CHECK),
+        .when(~F.col("side").isin("BUY", "SELL"), SIDE_CHECK)
     )
+    return evaluated(trades, {"check_reason": reason})
 
 
 def split_valid(rows: DataFrame, reason: str = "error") -> tuple[DataFrame, DataFrame]:
