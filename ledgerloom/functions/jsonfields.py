@@ -1,9 +1,11 @@
 """Strict reading of one JSON object per row.
 
 Spark's JSON readers coerce numbers to strings and ignore whatever follows the
-first value. Here the text is parsed twice, once inside an object and once
-inside an array: trailing text cannot close both, so a value that survives both
-is the whole text. Keys match without regard to case, ``null`` reads as empty.
+first value. A record in the usual spelling (only wanted fields, plain strings,
+nothing behind) is recognised by one pattern and read by ``from_json``. Any
+other text is parsed as ``variant`` twice, once inside an object and once inside
+an array: trailing text cannot close both, so a value that survives both is the
+whole text. Keys match without regard to case, ``null`` reads as empty.
 """
 
 from __future__ import annotations
@@ -12,62 +14,30 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.binding import evaluated
+from ledgerloom.functions.binding import evaluated, let
 
 MAX_BODY_BYTES = 4096
+MALFORMED, TRAILING = "malformed", "trailing"
 
+# A bounded repeat: the pattern matcher recurses once per field.
+USUAL_FIELDS = 16
+SPACE = r"[ \t\r\n]*+"
 
-def parsed(text: Column) -> Column:
-    """The value the text starts with, as ``variant``."""
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.try_variant_get(wrapped, "$.v", "variant")
 
+def _usual(text: Column, integers: list[str]) -> Column:
+    """Lower-case keys, strings without escapes, short whole numbers where one is wanted."""
+    numbers = "|".join(integers) or "(?!)"
+    pair = (
+        rf'(?:"(?!(?:{numbers})")[a-z_]++"{SPACE}:{SPACE}"[^"\\\x00-\x1f]*+"'
+        rf'|"(?:{numbers})"{SPACE}:{SPACE}(?:0|-?[1-9][0-9]{{0,4}}+))'
+    )
+    more = rf"(?:{SPACE},{SPACE}{pair}){{0,{USUAL_FIELDS - 1}}}"
+    pattern = rf"\A{SPACE}\{{{SPACE}{pair}{more}{SPACE}\}}{SPACE}\z"
+    return F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False))
 
-def read_object(df: DataFrame, text: str, strings: list[str], integers: list[str] = ()) -> DataFrame:
-    """Add ``json_problem`` and one column per wanted field.
 
-    String fields are ``''`` when absent or null, integer fields NULL.
-    ``json_problem`` is ``malformed`` for text that does not start with a JSON
-    object or holds a wanted field of the wrong type or in two spellings,
-    ``trailing`` for an object followed by more text, else NULL.
-    """
+def _read_any(text: Column, strings: list[str], integers: list[str]) -> Column:
     names = [*strings, *integers]
-    # The usual record has exactly the wanted fields with the wanted types.
-    usual = "OBJECT<" + ", ".join(
-        f"{n}: {'STRING' if n in strings else 'BIGINT'}" for n in sorted(names)
-    ) + ">"
-    in_array = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))
-    read = evaluated(df, {"_wrapped": parsed(F.col(text))})
-    read = read.withColumns(
-        {
-            "_whole": F.col("_wrapped").isNotNull() & in_array.isNotNull(),
-            "_json": F.coalesce(F.col("_wrapped"), F.try_parse_json(F.col(text))),
-        }
-    )
-    read = evaluated(
-        read,
-        {
-            "_whole": F.col("_whole"),
-            "_json": F.col("_json"),
-            "_kind": F.schema_of_variant(F.col("_json")),
-        },
-    )
-    value, kind = F.col("_json"), F.col("_kind")
-    read = read.withColumn(
-        "_fields",
-        F.when(
-            (kind != usual) & kind.startswith("OBJECT<"),
-            F.transform(
-                F.map_entries(F.expr("try_cast(_json as map<string,variant>)")),
-                lambda e: F.struct(
-                    F.lower(e["key"]).alias("k"),
-                    F.schema_of_variant(e["value"]).alias("t"),
-                    F.try_variant_get(e["value"], "$", "string").alias("s"),
-                ),
-            ),
-        ),
-    )
-    fields = F.col("_fields")
 
     def same_key(n: str):
         return lambda e: e["k"] == n
@@ -76,25 +46,74 @@ def read_object(df: DataFrame, text: str, strings: list[str], integers: list[str
         accepted = "STRING" if n in strings else "BIGINT"
         return lambda e: (e["k"] == n) & ~e["t"].isin("VOID", accepted)
 
-    def unusual_ok() -> Column:
+    def parse(t: Column) -> Column:
+        in_object = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        in_array = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        return F.struct(
+            F.try_variant_get(in_object, "$.v", "variant").alias("wrapped"),
+            in_array.isNotNull().alias("closes"),
+            F.try_parse_json(t).alias("bare"),
+        )
+
+    def describe(p: Column) -> Column:
+        first = F.coalesce(p["wrapped"], p["bare"])
+        return F.struct(
+            (p["wrapped"].isNotNull() & p["closes"]).alias("whole"),
+            F.schema_of_variant(first).alias("kind"),
+            F.transform(
+                F.map_entries(first.try_cast("map<string,variant>")),
+                lambda e: F.struct(
+                    F.lower(e["key"]).alias("k"),
+                    F.schema_of_variant(e["value"]).alias("t"),
+                    F.try_variant_get(e["value"], "$", "string").alias("s"),
+                ),
+            ).alias("entries"),
+        )
+
+    def pick(d: Column) -> Column:
+        entries = d["entries"]
         checks = [
-            (F.size(F.filter(fields, same_key(n))) <= 1) & ~F.exists(fields, wrong_type(n))
+            (F.size(F.filter(entries, same_key(n))) <= 1) & ~F.exists(entries, wrong_type(n))
             for n in names
         ]
-        return reduce(lambda a, b: a & b, checks)
+        well_typed = F.when(d["kind"] == "VOID", F.lit(True)).otherwise(
+            F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+        )
+        problem = F.when(~well_typed, MALFORMED).when(~d["whole"], TRAILING)
 
-    def field(n: str) -> Column:
-        usual_value = F.try_variant_get(value, f"$.{n}", "string")
-        other = F.filter(fields, same_key(n))
-        other_value = F.when(F.size(other) >= 1, F.element_at(other, 1)["s"])
-        return F.when(kind == usual, usual_value).otherwise(other_value)
+        def field(n: str) -> Column:
+            return F.try_element_at(F.filter(entries, same_key(n)), F.lit(1))["s"]
 
-    well_typed = F.when((kind == usual) | (kind == "VOID"), F.lit(True)).otherwise(
-        F.coalesce(unusual_ok(), F.lit(False))
-    )
-    problem = F.when(value.isNull() | ~well_typed, "malformed").when(~F.col("_whole"), "trailing")
-    out = {n: F.coalesce(field(n), F.lit("")) for n in strings}
-    out |= {n: field(n).try_cast("bigint") for n in integers}
-    return evaluated(read, {"json_problem": problem, **out}).drop(
-        "_json", "_wrapped", "_whole", "_kind", "_fields"
+        return F.struct(
+            F.when(d["kind"].isNull(), MALFORMED).otherwise(problem).alias("json_problem"),
+            *[F.coalesce(field(n), F.lit("")).alias(n) for n in strings],
+            *[field(n).try_cast("bigint").alias(n) for n in integers],
+        )
+
+    return let(let(let(text, parse), describe), pick)
+
+
+def read_object(df: DataFrame, text: str, strings: list[str], integers: list[str] = ()) -> DataFrame:
+    """Add ``json_problem`` and one column per wanted field.
+
+    String fields are ``''`` when absent or null, integer fields NULL.
+    ``json_problem`` is ``malformed`` for text that does not start with a JSON
+    object or holds a wanted field of the wrong type or in two spellings,
+    ``trailing`` for an object followed by more text, else NULL.
+    """
+    value, usual = F.col(text), F.col("_usual")
+    schema = ", ".join([f"{n} string" for n in strings] + [f"{n} bigint" for n in integers])
+    read = evaluated(df, {"_usual": _usual(value, integers)})
+    read = evaluated(
+        read,
+        {
+            "_plain": F.when(usual, F.from_json(value, schema)),
+            "_other": F.when(~usual, _read_any(value, strings, integers)),
+        },
     )
+    plain, other = F.col("_plain"), F.col("_other")
+    return read.withColumns(
+        {"json_problem": other["json_problem"]}
+        | {n: F.when(usual, F.coalesce(plain[n], F.lit(""))).otherwise(other[n]) for n in strings}
+        | {n: F.when(usual, plain[n]).otherwise(other[n]) for n in integers}
+    ).drop("_usual", "_plain", "_other")

@@ -13,6 +13,7 @@ RFC3339_FORM = (
     r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{1,2}):([0-9]{2}:[0-9]{2})"
     r"(?:[.,]([0-9]+))?(Z|[+-][0-9]{2}:[0-9]{2})\z"
 )
+UTC_FORM = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,9})?Z\z"
 FNV_OFFSET = 2166136261
 FNV_PRIME = 16777619
 UINT32_MASK = 4294967295
@@ -76,9 +77,8 @@ def parse_rfc3339(value: Column) -> Column:
     utc = local.try_cast("timestamp")
     shifted = F.timestamp_micros(F.unix_micros(utc) - shift.cast("bigint") * F.lit(60_000_000))
     return F.when(
-        F.regexp_like(value, F.lit(RFC3339_FORM)),
-        F.when(zone == "Z", utc).otherwise(shifted),
-    )
+        F.regexp_like(value, F.lit(UTC_FORM)), value.try_cast("timestamp")
+    ).when(F.regexp_like(value, F.lit(RFC3339_FORM)), shifted)
 
 
 def format_rfc3339(value: Column) -> Column:

@@ -22,9 +22,14 @@ def dedupe_events(deliveries: DataFrame, arrival: list[str], key: str = "event_i
 def new_events(
     batch: DataFrame, ledger: DataFrame, arrival: list[str], key: str = "event_id"
 ) -> DataFrame:
-    """First arrivals of ``batch`` whose event the ledger does not hold yet."""
-    known = ledger.select(key)
-    return dedupe_events(batch, arrival, key).join(known, key, "left_anti")
+    """First arrivals of ``batch`` whose event the ledger does not hold yet.
+
+    The ledger is only probed for the batch's ids: one column is scanned, and it
+    is not shuffled while the batch's ids are small enough for Spark to broadcast.
+    """
+    first = dedupe_events(batch, arrival, key)
+    known = ledger.select(key).join(batch.select(key).distinct(), key, "left_semi")
+    return first.join(known, key, "left_anti")
 
 
 def dedupe_stream(deliveries: DataFrame, delay: str, event_time: str = "occurred_at") -> DataFrame:

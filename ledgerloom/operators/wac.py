@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import wacfold
 from ledgerloom.functions.amounts import SCALE, signed_quantity
+from ledgerloom.operators.dedupe import skip_applied
 from ledgerloom.operators.longkeys import SEGMENT_ROWS, long_keys, with_segments
 from ledgerloom.session import cut_lineage
 
@@ -307,25 +308,36 @@ def fold_trades(
     return folded.unionByName(_fold_long(held, initial, segment_rows, function, schema))
 
 
-def wac_state(
+def state_changes(
     trades: DataFrame,
     state: DataFrame | None = None,
     sizing: DataFrame | None = None,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """State per key after all ``trades``, starting from ``state`` where a key has one."""
+    """``wac_state`` with ``rejected``, the number of trades that could not be applied."""
     folded = fold_trades(
         trades, wacfold.fold_states, wacfold.STATE_SCHEMA, state, sizing, segment_rows
     )
     last = F.max_by(
         F.struct("position", "average_cost", "realized_pnl", "last_transaction_id"), "segment"
     )
-    return folded.groupBy(*KEY).agg(last.alias("s")).select(
+    return folded.groupBy(*KEY).agg(last.alias("s"), F.sum("rejected").alias("rejected")).select(
         *KEY, "s.position", "s.average_cost",
         F.col("s.realized_pnl").cast("bigint").alias("realized_pnl"), "s.last_transaction_id",
+        "rejected",
     )
 
 
+def wac_state(
+    trades: DataFrame,
+    state: DataFrame | None = None,
+    sizing: DataFrame | None = None,
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """State per key after all ``trades``, starting from ``state`` where a key has one."""
+    return state_changes(trades, state, sizing, segment_rows).drop("rejected")
+
+
 def wac_trace(
     trades: DataFrame,
     state: DataFrame | None = None,
@@ -345,8 +357,6 @@ def wac_incremental(
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Changed states only: ledger rows above each key's watermark folded from the stored state."""
-    from ledgerloom.operators.dedupe import skip_applied
-
     return wac_state(skip_applied(ledger, state), state, sizing, segment_rows)
 
 

@@ -498,9 +498,10 @@ def _arrived(spark, sf) -> DataFrame:
       preceding and 1 preceding), 0) as bigint) as block from spans),
     numbered as (select a.*, b.block + a.pos - b.low as ledger_id
       from arrived a join blocks b on b.part = a.part),
-    known as (select distinct event_id from trade_deliveries where l_returnflag = 'N')
+    known as (select distinct md5(concat(cast(l_orderkey as varchar),'-',cast(l_linenumber as varchar))) as m
+      from lineitem where l_returnflag = 'N')
     select min(ledger_id) as id, event_id from numbered
-    where event_id not in (select event_id from known) group by event_id""",
+    where replace(event_id, '-', '') not in (select m from known) group by event_id""",
 )
 def append_transactions(spark, sf):
     """Deliveries appended to a ledger that already holds every event once seen with flag N."""

@@ -1 +1,147 @@
-"""Queries that run as streams."""
+"""Queries that run as streams over the given tables, up to the data there is."""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ledgerloom.operators import dlq
+from ledgerloom.plans import sqltext as S, views as V
+from ledgerloom.plans.registry import query
+from ledgerloom.session import shared_folder
+from ledgerloom.sources import tables, topic
+from ledgerloom.streaming import ledger as ledger_stream, telemetry, wac
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/streams/{uuid4().hex}"
+
+
+def _finish(stream) -> None:
+    stream.awaitTermination()
+    if stream.exception() is not None:
+        raise stream.exception()
+
+
+def _through_ledger(spark: SparkSession, sf: str) -> ledger_stream.Folders:
+    """Publish all records as topic files and run the ledger stream over them."""
+    folder = _run_folder(spark)
+    topic.publish_files(V.topic_records(spark, sf), f"{folder}/topic")
+    folders = ledger_stream.Folders(folder)
+    records = topic.read_trade_files(spark, f"{folder}/topic")
+    _finish(ledger_stream.start_ledger_stream(records, folders))
+    return folders
+
+
+@query(
+    "ledger_stream",
+    f"""with {S.APPLICABLE} {S.fold('ledger')}
+    select tenant_id, instrument, cast(s.pos as bigint) as "position",
+      cast(s.avg as bigint) as average_cost, cast(s.pnl as bigint) as realized_pnl from folded""",
+)
+def ledger_state(spark, sf) -> DataFrame:
+    folders = _through_ledger(spark, sf)
+    return ledger_stream.current_state(spark, folders).select(
+        "tenant_id", "instrument", "position", "average_cost", "realized_pnl"
+    )
+
+
+@query(
+    "read_trade_topic",
+    f"""with {S.APPLICABLE} select event_id, tenant_id, instrument, side, quantity, price from ledger""",
+)
+def ledger_rows(spark, sf) -> DataFrame:
+    """The ledger the stream has written."""
+    folders = _through_ledger(spark, sf)
+    return tables.read_transactions(spark, folders.ledger).select(
+        "event_id", "tenant_id", "instrument", "side", "quantity", "price"
+    )
+
+
+@query(
+    "dlq_stream",
+    f"""with {S.APPLICABLE} select split_part(key, ':', 1) as tenant_id,
+      coalesce(reason, check_reason) as failure_reason, count(*) as letters,
+      cast(max(case when reason is null then 4 else 1 end) as bigint) as attempts
+    from decoded where reason is not null or check_reason is not null group by 1, 2""",
+)
+def dlq_letters(spark, sf) -> DataFrame:
+    folders = _through_ledger(spark, sf)
+    return dlq.dlq_by_tenant(tables.read_letters(spark, folders.letters))
+
+
+def _ledger_files(spark: SparkSession, sf: str, folder: str, parts: int) -> DataFrame:
+    V.trades(spark, sf).select("tenant_id", "instrument", "id", "side", "quantity", "price").write.parquet(
+        f"{folder}/trades"
+    )
+    schema = "tenant_id string, instrument string, id bigint, side string, quantity bigint, price bigint"
+    return spark.readStream.schema(schema).options(**topic.bounded_poll(max_files=parts)).parquet(
+        f"{folder}/trades"
+    )
+
+
+@query(
+    "wac_stream",
+    f"with {S.TRADES} {S.fold('trades')} select {S.STATE_COLUMNS} from folded",
+)
+def wac_state_stream(spark, sf) -> DataFrame:
+    folder = _run_folder(spark)
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        states = wac.wac_stream(_ledger_files(spark, sf, folder, 0))
+        _finish(
+            states.writeStream.outputMode("update")
+            .foreachBatch(lambda batch, n: tables.write_batch(batch, f"{folder}/states", n))
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+    values = ["position", "average_cost", "realized_pnl", "last_transaction_id"]
+    newest = F.max_by(F.struct(*values), "last_transaction_id")
+    states = spark.read.option("basePath", f"{folder}/states").parquet(f"{folder}/states/batch=*")
+    return states.groupBy("tenant_id", "instrument").agg(newest.alias("s")).select(
+        "tenant_id", "instrument", "s.*"
+    )
+
+
+@query(
+    "bounded_poll",
+    f"""with {S.CALLS} select epoch_us(time_bucket(interval 1 hour, ts)) as window_start_us, tenant_id, outcome,
+      count(*) as calls, cast(sum(latency_us) as bigint) as sum_us,
+      count(*) filter (where latency_us <= 10000) as le_10000,
+      count(*) filter (where latency_us <= 100000) as le_100000
+    from call_log group by 1, 2, 3""",
+)
+def telemetry_stream(spark, sf) -> DataFrame:
+    """Hourly call counts as a windowed stream that takes one file per micro-batch."""
+    folder = _run_folder(spark)
+    schema = V.table(spark, sf, "events").schema
+    events = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events.parquet")
+        .options(**topic.bounded_poll(max_files=1))
+        .parquet(sf)
+    )
+    counts = telemetry.windowed_counts(V.calls_of(events), "1 hour", "1 hour")
+    _finish(
+        counts.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: tables.write_batch(batch, f"{folder}/windows", n))
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    updates = spark.read.option("basePath", f"{folder}/windows").parquet(f"{folder}/windows/batch=*")
+    return telemetry.latest_windows(updates).select(
+        F.unix_micros("window_start").alias("window_start_us"), "tenant_id", "outcome", "calls",
+        "sum_us", "le_10000", "le_100000",
+    )

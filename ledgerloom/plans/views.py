@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.amounts import format_amount
+from ledgerloom.functions.binding import evaluated
 from ledgerloom.functions.text import partition_key
 from ledgerloom.operators.dedupe import dedupe_events
 
@@ -16,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def uuid_of(text: Column) -> Column:
-    return F.regexp_replace(
-        F.md5(text.cast("binary")), r"\A(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5"
-    )
+    digest = F.md5(text.cast("binary"))
+    parts = [F.substring(digest, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat_ws("-", *parts)
 
 
 def deliveries_of(lineitem: DataFrame) -> DataFrame:
@@ -51,7 +52,11 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls with outcome and latency in whole microseconds."""
-    return table(spark, sf_dir, "events").select(
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("call_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("tenant-"), (F.col("user_id") % 5).cast("string")).alias("tenant_id"),
@@ -100,6 +105,8 @@ def with_defects(rows: DataFrame, version: list[str]) -> DataFrame:
             .alias("occurred_at"),
         )
     )
+    rows = evaluated(rows, {"_text": text})
+    text = F.col("_text")
     value = (
         F.when(_defect(1), F.regexp_replace(text, r"\}\z", ""))
         .when(_defect(8), F.concat(text, F.lit(" x")))
@@ -108,7 +115,7 @@ def with_defects(rows: DataFrame, version: list[str]) -> DataFrame:
         .when(_defect(17), F.concat(text, F.lit(" \n")))
         .otherwise(text)
     )
-    return rows.withColumn("value", value)
+    return rows.withColumn("value", value).drop("_text")
 
 
 def rest_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Parquet tables take no ``MERGE``. The ledger is one folder per batch, rewritten
 whole when a batch is replayed. The state is a folder of changes per batch; the
-current state is each key's change with the highest watermark, and ``compact``
-folds old changes into one. Where the session's table format supports it,
+current state is each key's change with the highest watermark, and
+``compact_state`` writes it to a new folder. Where the session's table format supports it,
 ``merge_state`` runs the same rule as a merge.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ledgerloom.operators.dedupe import new_events
-from ledgerloom.schemas import RECONCILED_STATE, TRANSACTIONS
+from ledgerloom.schemas import DLQ, RECONCILED_STATE, TRANSACTIONS
 
 KEY = ["tenant_id", "instrument"]
 VALUES = ["position", "average_cost", "realized_pnl", "last_transaction_id", "updated_at"]
@@ -37,6 +37,10 @@ def read_state_changes(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, RECONCILED_STATE)
 
 
+def read_letters(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, DLQ)
+
+
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Replace one batch's folder, so a replayed batch leaves no second copy."""
     rows.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
