@@ -24,5 +24,8 @@ def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     every stage. Columns that leave a generator are not copied.
     """
     kept = [c for c in df.columns if c not in columns]
-    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*kept, F.inline(F.array(packed)))
+    # The expressions stay in a projection, which compiles them; the generator
+    # only passes their values on.
+    computed = df.withColumns({f"__{name}": value for name, value in columns.items()})
+    packed = F.struct(*[F.col(f"__{name}").alias(name) for name in columns])
+    return computed.select(*kept, F.inline(F.array(packed)))

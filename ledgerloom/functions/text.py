@@ -109,13 +109,25 @@ def key_instrument(key: Column) -> Column:
 def fnv1a32(value: Column) -> Column:
     """32-bit FNV-1a over the UTF-8 bytes, as bigint."""
     text = F.hex(F.encode(value, "UTF-8"))
+    length = F.octet_length(value)
     # An empty string has no bytes; sequence(1, 0) would count down.
-    steps = F.when(
-        F.octet_length(value) > 0, F.sequence(F.lit(1), F.octet_length(value))
-    ).otherwise(F.array().cast("array<int>"))
+    steps = F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(
+        F.array().cast("array<int>")
+    )
+    one_byte_each = length == F.char_length(value)
+
+    def mixed(state: Column, byte: Column) -> Column:
+        return (state.bitwiseXOR(byte.cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(
+            F.lit(UINT32_MASK)
+        )
 
-    def step(state: Column, at: Column) -> Column:
-        byte = F.conv(F.substring(text, at * 2 - 1, F.lit(2)), 16, 10).cast("bigint")
-        return (state.bitwiseXOR(byte) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(UINT32_MASK))
+    def ascii_step(state: Column, at: Column) -> Column:
+        return mixed(state, F.ascii(F.substring(value, at, F.lit(1))))
 
-    return F.aggregate(steps, F.lit(FNV_OFFSET).cast("bigint"), step)
+    def byte_step(state: Column, at: Column) -> Column:
+        return mixed(state, F.conv(F.substring(text, at * 2 - 1, F.lit(2)), 16, 10))
+
+    start = F.lit(FNV_OFFSET).cast("bigint")
+    return F.when(one_byte_each, F.aggregate(steps, start, ascii_step)).otherwise(
+        F.aggregate(steps, start, byte_step)
+    )

@@ -41,6 +41,15 @@ def route_reconcile_failures(
     return dlq_envelope(failed, reason, F.lit(max_retries + 1), failed_at)
 
 
+def dead_letters(checked: DataFrame, failed_at: Column, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """Both kinds of failure in one pass over rows with ``reason`` and ``check_reason``."""
+    undecodable = F.col("reason").isNotNull()
+    why = F.coalesce("reason", "check_reason")
+    failed = checked.withColumn("_why", why).where(F.col("_why").isNotNull())
+    attempts = F.when(undecodable, 1).otherwise(max_retries + 1)
+    return dlq_envelope(failed, "_why", attempts, failed_at)
+
+
 def encode_dlq(letters: DataFrame) -> DataFrame:
     """Dead letters as topic records under the original key."""
     fields = [

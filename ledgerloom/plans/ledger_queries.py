@@ -544,11 +544,7 @@ def upsert_state(spark, sf):
 
 def _letters(spark, sf) -> DataFrame:
     at = F.lit("2026-01-01 00:00:00").cast("timestamp")
-    decoded = _decoded(spark, sf)
-    checked = validate.ledger_checks(decoded.where("reason is null"))
-    return dlq.route_decode_failures(decoded, at).unionByName(
-        dlq.route_reconcile_failures(checked, at)
-    )
+    return dlq.dead_letters(validate.ledger_checks(_decoded(spark, sf)), at)
 
 
 LETTERS = f"""{S.APPLICABLE} {S.ranges(0, 2, 'ranges')},

@@ -12,8 +12,20 @@ from ledgerloom.operators.dedupe import dedupe_events
 ARRIVAL = ["occurred_at", "l_partkey", "l_suppkey", "side", "quantity", "price"]
 
 
+# Tables worth spreading when a scan has fewer tasks than there are cores, with the column to hash.
+FACTS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; facts in one small file are spread over all cores before the work starts.
+
+    A table of many files or row groups has tasks enough and is read as it is.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in FACTS and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, FACTS[name])
+    return rows
 
 
 def uuid_of(text: Column) -> Column:

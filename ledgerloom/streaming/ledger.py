@@ -85,11 +85,7 @@ def apply_batch(
             changes = changes.withColumn("rejected", F.coalesce("rejected", none))
         tables.write_batch(changes, folders.state, batch_id)
 
-        letters = dlq.route_decode_failures(decoded, now).unionByName(
-            dlq.route_reconcile_failures(
-                decoded.where("reason is null and check_reason is not null"), now
-            )
-        )
+        letters = dlq.dead_letters(decoded, now)
         written_state = spark.read.parquet(f"{folders.state}/batch={batch_id}")
         if not written_state.where("rejected > 0").isEmpty():
             refused = wac.wac_trace(appended, touched, segment_rows=segment_rows).where(
