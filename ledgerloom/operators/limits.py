@@ -42,9 +42,12 @@ def rate_limit_verdicts(
     units, refill = 1_000_000 * exact.denominator, exact.numerator
     decide = bucketfold.folder(units, refill, burst, verdicts=True)
     calls = calls.select("key", "ts_us", "call_id")
-    long = cut_lineage(long_keys(calls, ["key"], segment_rows))
+    long = long_keys(calls, ["key"], segment_rows)
     any_long = not long.isEmpty()
-    usual = calls.join(long, "key", "left_anti") if any_long else calls
+    usual = calls
+    if any_long:
+        long = cut_lineage(long)
+        usual = calls.join(long, "key", "left_anti")
     usual = usual.withColumn("segment", F.lit(0).cast("bigint"))
     verdicts = (
         usual.select(*ORDER).repartition("key").sortWithinPartitions(*ORDER)

@@ -294,9 +294,12 @@ def fold_trades(
     rows = _fold_rows(trades)
     initial = None if state is None else _initial(state)
     measured = (sizing if sizing is not None else rows).select(*KEY)
-    long = cut_lineage(long_keys(measured, KEY, segment_rows))
+    long = long_keys(measured, KEY, segment_rows)
     any_long = not long.isEmpty()
-    usual = rows.join(long, KEY, "left_anti") if any_long else rows
+    usual = rows
+    if any_long:
+        long = cut_lineage(long)
+        usual = rows.join(long, KEY, "left_anti")
     usual = usual.withColumn("segment", _zero())
     if initial is not None:
         usual = usual.join(initial, KEY, "left")
