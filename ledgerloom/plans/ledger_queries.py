@@ -620,11 +620,11 @@ def replay_dlq(spark, sf):
 @query(
     "no_head_of_line_block",
     f"""with {S.APPLICABLE} {S.ranges(0, 2, 'ranges')}
-    select {S.partition_of('ranges', 't')} as "partition", count(*) as records,
+    select {S.partition_of('ranges', 'd')} as "partition", count(*) as records,
       count(*) filter (where reason is null and check_reason is null) as applied,
       count(*) filter (where reason is not null) as undecodable,
       count(*) filter (where reason is null and check_reason is not null) as refused
-    from decoded d join trades t on t.id = d.id left join ranges x on x.tenant_id = t.tenant_id
+    from decoded d left join ranges x on x.tenant_id = d.tenant_id
     group by 1""",
 )
 def no_head_of_line_block(spark, sf):
@@ -665,9 +665,9 @@ def partition_for(spark, sf):
 
 @query(
     "read_partitions",
-    f"""with {S.TRADES} {S.ranges(0, 2, 'ranges')}, placed as (
+    f"""with {S.APPLICABLE} {S.ranges(0, 2, 'ranges')}, placed as (
       select t.id, {S.partition_of('ranges', 't')} as part
-      from trades t left join ranges x on x.tenant_id = t.tenant_id)
+      from decoded t left join ranges x on x.tenant_id = t.tenant_id)
     select part as "partition", count(*) as records, min(id) as first_offset, max(id) as last_offset
     from placed where part in (0, 5, 11, 23) group by part""",
 )

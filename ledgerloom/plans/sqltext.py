@@ -107,7 +107,7 @@ decoded as (
     case when id % 97 = 7 then 0 else t.quantity end as quantity, t.price,
     case when id % 97 = 16 then 'usd' else t.currency end as currency, t.occurred_at,
     {DECODE_REASON} as reason, {CHECK_REASON} as check_reason,
-    concat(t.tenant_id, ':', t.instrument) as key
+    concat(t.tenant_id, ':', case when id % 97 = 15 then 'aapl' else t.instrument end) as key
   from trades t),
 ledger as (select * from decoded where reason is null and check_reason is null)
 """
@@ -256,7 +256,7 @@ POLLS = (
     + f""",
 placed as (
   select t.*, {partition_of("ranges", "t")} as part
-  from trades t left join ranges x on x.tenant_id = t.tenant_id),
+  from decoded t left join ranges x on x.tenant_id = t.tenant_id),
 polls as (
   select id // 4096 as poll, part as "partition", id as "offset", tenant_id,
     ({DECODE_REASON}) is null as decodable, (id // 4096 + 1) * 4096 + part * 100 as high_watermark

@@ -135,7 +135,10 @@ def rest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wire_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_defects(trades(spark, sf_dir), ["schema_version"])
+    """Wire payloads under the key the publisher derives from the event itself."""
+    rows = with_defects(trades(spark, sf_dir), ["schema_version"]).withColumn(
+        "instrument", F.when(_defect(15), "aapl").otherwise(F.col("instrument"))
+    )
     return rows.select(
         "id", partition_key(F.col("tenant_id"), F.col("instrument")).alias("key"), "tenant_id",
         "instrument", "occurred_at", "value",
