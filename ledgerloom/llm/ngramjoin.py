@@ -43,12 +43,13 @@ SMALL, LARGE = 60, 1500  # set sizes up to which, and from which, single shingle
 MOST_FREQUENT = 1 << 20  # entries of the table of frequent shingles, which is broadcast
 RANGES = 256
 HELD = 2_000_000  # shingles a task counts at a time
+BATCH = 256  # texts taken at a time
 KNOWN_IDS = 1 << 20  # more candidate documents than this are joined, not broadcast
 
 _ODD = [np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
     0xC4CEB9FE1A85EC53)]
-_words: dict[bytes, int] = {}
+_words: dict[bytes, bytes] = {}
 
 
 # --- shingles -----------------------------------------------------------------------------
@@ -60,28 +61,38 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _word_hash(word: bytes) -> int:
+def _word_hash(word: bytes) -> bytes:
     if len(_words) > 400_000:
         _words.clear()
-    found = _words[word] = xxhash.xxh3_64_intdigest(word)
+    found = _words[word] = xxhash.xxh3_64_digest(word)
     return found
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``text``."""
-    # Lower-casing and splitting bytes touch A-Z and the six blanks of ASCII only.
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    if len(found) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), len(found))], np.uint64)
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles."""
     known = _words.get
-    hashes = np.array([known(w) or _word_hash(w) for w in found], np.uint64)
-    n = hashes.size - words + 1
+    # Lower-casing and splitting bytes touch A-Z and the six blanks of ASCII only.
+    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    joined = b"".join([known(w) or _word_hash(w) for text in split for w in text])
+    hashes = np.frombuffer(joined, np.uint64)
+    n = max(0, hashes.size - words + 1)
     sums = np.zeros(n, np.uint64)
     for place in range(words):
         sums = (sums ^ (sums >> np.uint64(31))) * _ODD[place % 4] + hashes[place : place + n]
-    return np.unique(_mixed(sums))
+    sums = _mixed(sums)
+    sets, at = [], 0
+    for text in split:
+        if len(text) >= words:
+            own = np.sort(sums[at : at + len(text) - words + 1])
+            new = np.ones(own.size, bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            sets.append(own[new])
+        elif text:
+            sets.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(text), len(text))], np.uint64))
+        else:
+            sets.append(np.empty(0, np.uint64))
+        at += len(text)
+    return sets
 
 
 # --- frequent shingles --------------------------------------------------------------------
@@ -112,15 +123,14 @@ def _counted(words: int, ranges: int) -> Callable:
             )
 
         for part in parts:
-            for text in part.column("text"):
-                found = shingles(text.as_py(), words)
-                if found.size:
-                    held.append(_fingerprints(found, ranges))
-                    size += found.size
+            for batch in slices(part, BATCH):
+                found = np.concatenate(shingle_sets(batch.column("text").to_pylist(), words))
+                held.append(_fingerprints(found, ranges))
+                size += found.size
                 if size >= HELD:
                     yield emit()
                     held, size = [], 0
-        if held:
+        if size:
             yield emit()
 
     return count
@@ -182,29 +192,57 @@ def _has(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
+def prefix_size(n: int) -> int:
+    """Of ``n`` shingles in order, so many are the prefix in which linked sets share CLASSES + 1."""
+    return min(n, n - -(-LEAST * n // 100) + CLASSES + 1)
+
+
 def keys_of(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The keys under which a set is indexed; ``frequent`` tells which shingles are."""
     n = h.size
     # A set of up to five shingles links with equal ones only.
     if n <= 5:
         return np.empty(0, np.uint64)
-    order = np.concatenate((h[~frequent], h[frequent]))
-    rare = n - int(frequent.sum())
-    least = -(-LEAST * n // 100)
+    rare, often = h[~frequent], h[frequent]
+    size, least = prefix_size(n), -(-LEAST * n // 100)
     keys = []
     if n <= SMALL or n >= LARGE:
-        keys.append(order[: n - least + 1])
+        single = n - least + 1
+        keys += [rare[:single], often[: max(0, single - rare.size)]]
     if n * 100 >= SMALL * LEAST and n * LEAST <= LARGE * 100:
-        size = min(n, n - least + CLASSES + 1)
-        keys.append(order[: min(size, rare)])
-        often = order[rare:size] if size > rare else order[:0]
-        kind = often & np.uint64(CLASSES - 1)
-        for c in range(CLASSES):
-            own = often[kind == np.uint64(c)]
-            if own.size > 1:
-                a, b = np.triu_indices(own.size, 1)
-                keys.append(_mixed(own[a] * _ODD[0] + own[b]))
-    return np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+        keys.append(rare[:size])
+        if rare.size < size:
+            often = often[: size - rare.size]
+            kind = often & np.uint64(CLASSES - 1)
+            for c in range(CLASSES):
+                own = often[kind == np.uint64(c)]
+                if own.size > 1:
+                    a, b = np.triu_indices(own.size, 1)
+                    keys.append(_mixed(own[a] * _ODD[0] + own[b]))
+    return keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))
+
+
+def head_of(h: np.ndarray, frequent: np.ndarray) -> tuple[bytes, int]:
+    """Sorted 32-bit parts of the prefix, and the place of its last shingle in the order."""
+    size = prefix_size(h.size)
+    rare = h[~frequent][:size]
+    often = h[frequent][: size - rare.size]
+    last = int(often[-1] >> np.uint64(1)) if often.size else int(rare[-1] >> np.uint64(1)) - 2**63
+    both = np.concatenate((rare, often)) if often.size else rare
+    return np.sort(both.astype(np.uint32)).tobytes(), last
+
+
+def may_link(n: int, last: int, head: np.ndarray, other_n: int, other_last: int, other: np.ndarray) -> bool:
+    """Whether two prefixes leave room for enough shared shingles.
+
+    Of the set whose prefix ends first, every shared shingle up to that end is in both prefixes, and all
+    later ones may be shared. Equal 32-bit parts can only add to the count.
+    """
+    both = np.concatenate((head, other))
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    rest = n - head.size if last <= other_last else other_n - other.size
+    return (shared + rest) * (100 + LEAST) >= LEAST * (n + other_n)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -217,16 +255,20 @@ def _indexed(words: int, ranges: int, shared) -> Callable:
     def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for part in parts:
-            for batch in slices(part, 512):
-                sets = [shingles(t.as_py(), words) for t in batch.column("text")]
-                keys = [keys_of(h, _has(frequent, _fingerprints(h, ranges))) for h in sets]
+            for batch in slices(part, BATCH):
+                sets = shingle_sets(batch.column("text").to_pylist(), words)
+                cuts = np.cumsum([h.size for h in sets])[:-1]
+                often = np.split(_has(frequent, _fingerprints(np.concatenate(sets), ranges)), cuts)
+                keys = [keys_of(h, f) for h, f in zip(sets, often)]
+                heads = [head_of(h, f) if h.size else (None, None) for h, f in zip(sets, often)]
                 digests = [xxhash.xxh3_128_digest(h.tobytes()) if h.size else None for h in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), pa.array([h.size for h in sets], pa.int64()),
-                        pa.array(digests, pa.binary()), _lists(keys),
+                        pa.array(digests, pa.binary()), pa.array([x for _, x in heads], pa.int64()),
+                        pa.array([x for x, _ in heads], pa.binary()), _lists(keys),
                     ],
-                    names=["doc_id", "n", "digest", "keys"],
+                    names=["doc_id", "n", "digest", "last", "head", "keys"],
                 )
 
     return index
@@ -256,15 +298,11 @@ def _led(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets_of(words: int, shared) -> Callable:
+def _sets_of(words: int) -> Callable:
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if shared is None else shared.value
         for part in parts:
-            if wanted is not None:
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                part = part.filter(pa.array(_has(wanted, ids)))
-            for batch in slices(part, 512):
-                found = [shingles(t.as_py(), words) for t in batch.column("text")]
+            for batch in slices(part, BATCH):
+                found = shingle_sets(batch.column("text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array([h.tobytes() for h in found], pa.binary())],
                     names=["doc_id", "h"],
@@ -273,6 +311,17 @@ def _sets_of(words: int, shared) -> Callable:
     return sets
 
 
+def _possible(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for batch in slices(part, 2048):
+            columns = [batch.column(c).to_pylist() for c in ("un", "ul", "uh", "vn", "vl", "vh")]
+            keep = [
+                may_link(un, ul, np.frombuffer(uh, np.uint32), vn, vl, np.frombuffer(vh, np.uint32))
+                for un, ul, uh, vn, vl, vh in zip(*columns)
+            ]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verified(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for batch in slices(part, 512):
@@ -297,21 +346,23 @@ class _Join:
         index = _indexed(words, ranges, frequent)
         kind = dict(self.docs.dtypes)["doc_id"]
         self.rows = stored(
-            self.docs.mapInArrow(index, f"doc_id {kind}, n bigint, digest binary, keys array<bigint>"),
+            self.docs.mapInArrow(
+                index,
+                f"doc_id {kind}, n bigint, digest binary, last bigint, head binary, keys array<bigint>",
+            ),
             "shingle-keys",
         )
-
-    def classes(self) -> DataFrame:
-        """``digest``, the smallest doc_id with that set as ``node``, and the set's keys."""
-        return (
+        # A row per distinct set, under the smallest doc_id that has it; combined before the shuffle.
+        self.classes = stored(
             self.rows.where("digest is not null and doc_id is not null")
             .groupBy("digest")
-            .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+            .agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "last", "head", "keys")]),
+            "shingle-classes",
         )
 
     def buckets(self) -> DataFrame:
         """The members of every bucket but the first, beside the first."""
-        postings = self.classes().select(F.explode("keys").alias("key"), "node", "n")
+        postings = self.classes.select(F.explode("keys").alias("key"), "node", "n")
         return stored(
             postings.repartition("key")
             .sortWithinPartitions("key", "node")
@@ -321,22 +372,32 @@ class _Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``u`` and ``v`` whose sets are similar enough."""
-        pairs = stored(pairs, "shingle-pairs")
+        def heads(side: str) -> DataFrame:
+            return self.classes.select(
+                F.col("node").alias(side), F.col("n").alias(f"{side}n"), F.col("last").alias(f"{side}l"),
+                F.col("head").alias(f"{side}h"),
+            )
+
+        pairs = (
+            pairs.join(heads("u"), "u")
+            .join(heads("v"), "v")
+            .select("u", "v", "un", "ul", "uh", "vn", "vl", "vh")
+            .mapInArrow(_possible, "u bigint, v bigint")
+        )
+        # A doc_id with several texts may hold several classes.
+        pairs = stored(pairs.distinct(), "shingle-pairs")
         ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
         if ids.limit(KNOWN_IDS + 1).count() <= KNOWN_IDS:
-            known = np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64))
-            docs, shared = self.docs.where("doc_id is not null"), self.spark.sparkContext.broadcast(known)
-        else:
-            docs, shared = self.docs.join(ids, "doc_id", "left_semi"), None
-        sets = stored(
-            docs.mapInArrow(_sets_of(self.words, shared), "doc_id bigint, h binary"), "shingle-sets"
-        )
+            ids = F.broadcast(ids)
+        docs = self.docs.join(ids, "doc_id", "left_semi")
+        sets = stored(docs.mapInArrow(_sets_of(self.words), "doc_id bigint, h binary"), "shingle-sets")
         # Rows that share a doc_id may have several sets; a pair links if any of them do.
         return stored(
             pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("h").alias("a")), "u")
             .join(sets.select(F.col("doc_id").alias("v"), F.col("h").alias("b")), "v")
             .select("u", "v", "a", "b")
-            .mapInArrow(_verified, "u bigint, v bigint"),
+            .mapInArrow(_verified, "u bigint, v bigint")
+            .distinct(),
             "shingle-links",
         )
 
@@ -349,7 +410,7 @@ class _Join:
         pairs = buckets.where(fits).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
         # A doc_id with several texts ties their sets together.
         held = self.rows.where("digest is not null and doc_id is not null").join(
-            self.classes().select("digest", "node"), "digest"
+            self.classes.select("digest", "node"), "digest"
         )
         least = held.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("_most"))
         tied = (
@@ -394,7 +455,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     join = _Join(docs, words)
     found = join.components().select(F.col("node").alias("_node"), "component")
     classes = (
-        join.classes()
+        join.classes
         .select(F.col("digest").alias("_digest"), F.col("node"))
         .join(found, F.col("node") == F.col("_node"), "left")
         .select("_digest", F.coalesce("component", "node").alias("_component"))
