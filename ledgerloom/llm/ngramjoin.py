@@ -197,29 +197,41 @@ def prefix_size(n: int) -> int:
     return min(n, n - -(-LEAST * n // 100) + CLASSES + 1)
 
 
-def keys_of(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The keys under which a set is indexed; ``frequent`` tells which shingles are."""
+def keys_of(h: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set is indexed; ``frequent`` tells which shingles are.
+
+    Beside each key, how many shingles of the set can be shared if the key holds the first shared one:
+    those from its place on, and for a pair of frequent ones all frequent ones. Two sets are candidates
+    under a key only if both numbers are large enough. Sets that link meet at their first shared
+    shingle, or share frequent ones only.
+    """
     n = h.size
     # A set of up to five shingles links with equal ones only.
     if n <= 5:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     rare, often = h[~frequent], h[frequent]
     size, least = prefix_size(n), -(-LEAST * n // 100)
-    keys = []
-    if n <= SMALL or n >= LARGE:
-        single = n - least + 1
-        keys += [rare[:single], often[: max(0, single - rare.size)]]
-    if n * 100 >= SMALL * LEAST and n * LEAST <= LARGE * 100:
-        keys.append(rare[:size])
-        if rare.size < size:
-            often = often[: size - rare.size]
-            kind = often & np.uint64(CLASSES - 1)
-            for c in range(CLASSES):
-                own = often[kind == np.uint64(c)]
-                if own.size > 1:
-                    a, b = np.triu_indices(own.size, 1)
-                    keys.append(_mixed(own[a] * _ODD[0] + own[b]))
-    return keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))
+    # Of any two linked sets, so many of the first shingles share one.
+    single = n - least + 1
+    both = n <= SMALL or n >= LARGE
+    paired = n * 100 >= SMALL * LEAST and n * LEAST <= LARGE * 100
+    first = rare[: size if paired else single]
+    keys, rest = [first], [n - np.arange(first.size)]
+    if both and rare.size < single:
+        more = often[: single - rare.size]
+        keys.append(more)
+        rest.append(n - rare.size - np.arange(more.size))
+    # With more rare shingles, the shared one among the first is rare.
+    if paired and rare.size < single:
+        often = often[: size - rare.size]
+        kind = often & np.uint64(CLASSES - 1)
+        for c in range(CLASSES):
+            own = often[kind == np.uint64(c)]
+            if own.size > 1:
+                a, b = np.triu_indices(own.size, 1)
+                keys.append(_mixed(own[a] * _ODD[0] + own[b]))
+                rest.append(np.full(a.size, n - rare.size))
+    return np.concatenate(keys), np.concatenate(rest)
 
 
 def head_of(h: np.ndarray, frequent: np.ndarray) -> tuple[bytes, int]:
@@ -245,10 +257,13 @@ def may_link(n: int, last: int, head: np.ndarray, other_n: int, other_last: int,
     return (shared + rest) * (100 + LEAST) >= LEAST * (n + other_n)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([a.size for a in arrays]))).astype(np.int32)
-    values = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+def _lists(indexed: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([k.size for k, _ in indexed]))).astype(np.int32)
+    keys = np.concatenate([k for k, _ in indexed]).view(np.int64)
+    rest = np.concatenate([r for _, r in indexed]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(ends), pa.StructArray.from_arrays([pa.array(keys), pa.array(rest)], ["key", "rest"])
+    )
 
 
 def _indexed(words: int, ranges: int, shared) -> Callable:
@@ -277,24 +292,27 @@ def _indexed(words: int, ranges: int, shared) -> Callable:
 # --- buckets and links --------------------------------------------------------------------
 
 
+_MEMBER = ("key", "node", "n", "rest")
+_LEADER = ("leader", "leader_n", "leader_rest")
+
+
 def _led(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and node: every row but a bucket's first, with that one as leader."""
-    last = None  # key, leader and its size
+    last = None  # key, and node, n and rest of the leader
     for batch in parts:
         if not batch.num_rows:
             continue
-        key, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n"))
+        key, *own = (batch.column(c).to_numpy(zero_copy_only=False) for c in _MEMBER)
         first = np.concatenate(([last is None or key[0] != last[0]], key[1:] != key[:-1]))
         at = np.maximum.accumulate(np.where(first, np.arange(key.size), -1))
         ahead = at < 0  # rows of a bucket that began in an earlier batch
-        leader = np.where(ahead, last[1] if last else 0, node[at])
-        size = np.where(ahead, last[2] if last else 0, n[at])
-        last = (key[-1], leader[-1], size[-1])
-        rest = ~first
-        if rest.any():
+        lead = [np.where(ahead, last[i + 1] if last else 0, x[at]) for i, x in enumerate(own)]
+        last = (key[-1], *(x[-1] for x in lead))
+        kept = ~first
+        if kept.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[rest], pa.int64()) for x in (key, leader, size, node, n)],
-                names=["key", "leader", "leader_n", "node", "n"],
+                [pa.array(x[kept], pa.int64()) for x in (key, *lead, *own)],
+                names=["key", *_LEADER, *_MEMBER[1:]],
             )
 
 
@@ -333,6 +351,11 @@ def _verified(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _fits(n: str, rest: str, other_n: str, other_rest: str):
+    """Whether two members of a bucket can link; see ``keys_of``."""
+    return F.least(rest, other_rest) * (100 + LEAST) >= (F.col(n) + F.col(other_n)) * LEAST
+
+
 class _Join:
     def __init__(self, docs: DataFrame, words: int) -> None:
         self.spark = docs.sparkSession
@@ -348,7 +371,7 @@ class _Join:
         self.rows = stored(
             self.docs.mapInArrow(
                 index,
-                f"doc_id {kind}, n bigint, digest binary, last bigint, head binary, keys array<bigint>",
+                f"doc_id {kind}, n bigint, digest binary, last bigint, head binary, keys array<struct<key:bigint,rest:int>>",
             ),
             "shingle-keys",
         )
@@ -362,11 +385,11 @@ class _Join:
 
     def buckets(self) -> DataFrame:
         """The members of every bucket but the first, beside the first."""
-        postings = self.classes.select(F.explode("keys").alias("key"), "node", "n")
+        postings = self.classes.select("node", "n", F.inline("keys").alias("key", "rest"))
         return stored(
             postings.repartition("key")
             .sortWithinPartitions("key", "node")
-            .mapInArrow(_led, "key bigint, leader bigint, leader_n bigint, node bigint, n bigint"),
+            .mapInArrow(_led, ", ".join(f"{c} bigint" for c in ("key", *_LEADER, *_MEMBER[1:]))),
             "shingle-buckets",
         )
 
@@ -404,10 +427,11 @@ class _Join:
     def components(self) -> DataFrame:
         """``node`` and ``component`` of every node that is linked with a smaller one."""
         buckets = self.buckets()
-        fits = (F.col("n") * 100 >= F.col("leader_n") * LEAST) & (
-            F.col("leader_n") * 100 >= F.col("n") * LEAST
+        pairs = (
+            buckets.where(_fits("n", "rest", "leader_n", "leader_rest"))
+            .select(F.col("leader").alias("u"), F.col("node").alias("v"))
+            .distinct()
         )
-        pairs = buckets.where(fits).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
         # A doc_id with several texts ties their sets together.
         held = self.rows.where("digest is not null and doc_id is not null").join(
             self.classes.select("digest", "node"), "digest"
@@ -426,22 +450,22 @@ class _Join:
             buckets.join(known.select(F.col("node").alias("leader"), F.col("c").alias("_a")), "leader", "left")
             .join(known.select("node", F.col("c").alias("_b")), "node", "left")
             .select(
-                "key", "leader", "leader_n", F.coalesce("_a", "leader").alias("leader_c"),
-                "node", "n", F.coalesce("_b", "node").alias("c"),
+                "key", F.coalesce("_a", "leader").alias("leader_c"), "node", "n", "rest",
+                F.coalesce("_b", "node").alias("c"),
             ),
             "shingle-labels",
         )
+        # The pairs with the leader are done. A bucket whose others are all in its component is, too.
         apart = label.where("c <> leader_c")
-        mixed = apart.select("key").distinct()
-        one = apart.select("key", F.col("node").alias("u"), F.col("n").alias("un"), F.col("c").alias("uc"),
-                           F.col("leader_c"))
-        two = label.join(mixed, "key", "left_semi").select(
-            "key", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"))
+        one = apart.select("key", *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "rest", "c", "leader_c")])
+        two = label.join(apart.select("key").distinct(), "key", "left_semi").select(
+            "key", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "rest", "c")]
+        )
         crossing = (
             one.join(two, "key")
-            .where("uc <> vc and (vc = leader_c or u < v) and un * 100 >= vn * 85 and vn * 100 >= un * 85"
-                   .replace("85", str(LEAST)))
-            .select("u", "v")
+            .where("u_c <> v_c and (v_c = u_leader_c or u_node < v_node)")
+            .where(_fits("u_n", "u_rest", "v_n", "v_rest"))
+            .select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
             .distinct()
         )
         second = self.links(crossing)
