@@ -5,7 +5,8 @@ first value. A record in the usual spelling (only wanted fields, plain strings,
 nothing behind) is recognised by one pattern and read by ``from_json``. Any
 other text is parsed as ``variant`` twice, once inside an object and once inside
 an array: trailing text cannot close both, so a value that survives both is the
-whole text. Keys match without regard to case, ``null`` reads as empty.
+whole text. Keys match without regard to case, ``null`` reads as empty, and of a
+repeated key the last value counts on both ways.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from ledgerloom.functions.binding import evaluated, let
 MAX_BODY_BYTES = 4096
 MALFORMED, TRAILING = "malformed", "trailing"
 
-# A bounded repeat: the pattern matcher recurses once per field.
+# A bounded repeat: the pattern matcher recurses once per field. Longer records take the other way,
+# with the same result.
 USUAL_FIELDS = 16
 SPACE = r"[ \t\r\n]*+"
 

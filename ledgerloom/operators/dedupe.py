@@ -32,11 +32,6 @@ def new_events(
     return first.join(known, key, "left_anti")
 
 
-def dedupe_stream(deliveries: DataFrame, delay: str, event_time: str = "occurred_at") -> DataFrame:
-    """Bounded variant for streams: copies later than ``delay`` are not recognised."""
-    return deliveries.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
 def duplicate_report(deliveries: DataFrame) -> DataFrame:
     """Events delivered more than once: how often, and under how many tenants."""
     per_tenant = deliveries.groupBy("event_id", "tenant_id").agg(F.count("*").alias("copies"))

@@ -82,10 +82,6 @@ def placement(
     return explicit.unionByName(pool.withColumn("kind", F.lit("pool")))
 
 
-def first_seen(rows: DataFrame, arrival: Column) -> DataFrame:
-    return rows.groupBy("tenant_id").agg(F.min(arrival).alias("first_seen"))
-
-
 def partition_for(
     rows: DataFrame,
     arrivals: DataFrame,
@@ -113,11 +109,6 @@ def partition_for(
     )
 
 
-def by_placement(rows: DataFrame, total: int, partition: str = "partition") -> DataFrame:
-    """Shuffle rows so that task number equals partition number."""
-    return rows.repartitionById(total, F.col(partition).cast("int"))
-
-
 def placement_moves(
     rows: DataFrame,
     arrivals: DataFrame,

@@ -645,9 +645,10 @@ def no_head_of_line_block(spark, sf):
     f"""with {S.APPLICABLE} {S.fold('ledger')} select {S.STATE_COLUMNS} from folded""",
 )
 def process_topic(spark, sf):
-    """Topic records to state: decode, check, fold; failures are the dead letters above."""
+    """Topic records to state: decode, check, count every event once, fold."""
     good = _checked(spark, sf).where("check_reason is null").withColumn("id", F.col("offset"))
-    return wac.wac_state(good, sizing=V.trade_deliveries(spark, sf))
+    good = good.select("event_id", "id", "tenant_id", "instrument", "side", "quantity", "price")
+    return wac.wac_state(dedupe.dedupe_events(good, ["id"]), sizing=V.trade_deliveries(spark, sf))
 
 
 # --- placement ---------------------------------------------------------------------------

@@ -15,6 +15,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # A JSON key that occurs twice reads as its last value, as in from_json.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

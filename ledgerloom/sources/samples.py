@@ -19,12 +19,3 @@ def series_of(samples: DataFrame, metric: str, labels: dict[str, str]) -> DataFr
         column: F.try_element_at(F.col("labels"), F.lit(label)) for column, label in labels.items()
     }
     return samples.where(F.col("metric") == metric).withColumns(wanted).drop("metric", "labels")
-
-
-def read_map_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Versions of the tenant partition map: one JSON text per file, newest file last."""
-    return (
-        spark.read.option("wholetext", "true")
-        .text(path)
-        .select(F.col("_metadata.file_modification_time").alias("version"), "value")
-    )

@@ -37,6 +37,11 @@ def read_state_changes(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, RECONCILED_STATE)
 
 
+def read_marks(spark: SparkSession, path: str) -> DataFrame:
+    """The first free id after every batch."""
+    return _read(spark, path, "next_id bigint")
+
+
 def read_letters(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, DLQ)
 

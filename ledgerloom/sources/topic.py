@@ -33,13 +33,18 @@ def bounded_poll(max_records: int = 0, max_files: int = 0) -> dict[str, str]:
 
 
 def read_trade_topic(
-    spark: SparkSession, brokers: str, topic: str, group: str | None = None, max_records: int = 0
+    spark: SparkSession, brokers: str, topic: str, group: str | None = None, max_records: int = 0,
+    start: str = "earliest",
 ) -> DataFrame:
-    """Stream of topic records (needs the public Kafka connector on the class path)."""
+    """Stream of topic records (needs the public Kafka connector on the class path).
+
+    A first start reads what the topic already holds.
+    """
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", brokers)
         .option("subscribe", topic)
+        .option("startingOffsets", start)
         .options(**bounded_poll(max_records=max_records))
     )
     if group:
@@ -87,10 +92,17 @@ def read_partitions(records: DataFrame, partitions: list[int]) -> DataFrame:
     return records.where(F.col("partition").isin(partitions))
 
 
-def read_rest_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Request bodies, one per line, in column ``value``."""
+def read_rest_events(
+    spark: SparkSession, path: str, streaming: bool = False, separator: str | None = None
+) -> DataFrame:
+    """Request bodies in column ``value``, one per file or, with a separator, one between two of them.
+
+    A body may hold line breaks, so a line is not a body.
+    """
     reader = spark.readStream if streaming else spark.read
-    return reader.text(path)
+    if separator is None:
+        return reader.text(path, wholetext=True)
+    return reader.text(path, lineSep=separator)
 
 
 def read_typed_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -115,9 +127,20 @@ def encode_wire_event(trades: DataFrame) -> DataFrame:
     )
 
 
+def wire_records(trades: DataFrame) -> DataFrame:
+    """What the sink is handed: key, value and, where placement has set it, the partition."""
+    encoded = encode_wire_event(trades)
+    if "partition" in trades.columns:
+        return encoded.select("key", "value", F.col("partition").cast("int").alias("partition"))
+    return encoded.select("key", "value")
+
+
 def publish_trades(trades: DataFrame, brokers: str, topic: str, checkpoint: str | None = None):
-    """Write encoded trades to a topic, as a stream when ``trades`` is one."""
-    encoded = encode_wire_event(trades).select("key", "value")
+    """Write encoded trades to a topic, as a stream when ``trades`` is one.
+
+    A column ``partition`` from ``placement.partition_for`` decides where each record goes.
+    """
+    encoded = wire_records(trades)
     if trades.isStreaming:
         return (
             encoded.writeStream.format("kafka")

@@ -16,8 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.operators import dlq, validate, wac
 from ledgerloom.sources import tables
 
-# A batch's ids start at its own multiple, so no lookup of the highest id is needed.
-IDS_PER_BATCH = 2**40
 # Every so many batches the state is written whole, and older changes are not read again.
 SNAPSHOT_EVERY = 100
 
@@ -40,6 +38,10 @@ class Folders:
     def letters(self) -> str:
         return f"{self.root}/letters"
 
+    @property
+    def marks(self) -> str:
+        return f"{self.root}/marks"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -53,6 +55,15 @@ def state_before(spark: SparkSession, folders: Folders, batch_id: int) -> DataFr
     return tables.latest_state(changes.where(recent))
 
 
+def next_id(spark: SparkSession, folders: Folders, batch_id: int) -> int:
+    """The first id after all earlier batches: a row per batch, of which the newest is read."""
+    marks = tables.read_marks(spark, folders.marks).where(F.col("batch") < batch_id)
+    newest = marks.where(F.col("batch") == batch_id - 1).first()
+    if newest is None:
+        newest = marks.orderBy(F.desc("batch")).first()
+    return 0 if newest is None else newest["next_id"]
+
+
 def apply_batch(
     batch: DataFrame, batch_id: int, folders: Folders, segment_rows: int = wac.SEGMENT_ROWS
 ) -> None:
@@ -67,11 +78,14 @@ def apply_batch(
             "reason", "check_reason"
         )
         held = tables.read_transactions(spark, folders.ledger).where(F.col("batch") < batch_id)
-        fresh = tables.append_transactions(good, held, batch_id * IDS_PER_BATCH, now)
+        first_id = next_id(spark, folders, batch_id)
+        fresh = tables.append_transactions(good, held, first_id, now)
         written = [f.split(" ")[0] for f in tables.TRANSACTIONS.split(", ")]
         located = ["topic", "partition", "offset", "key", "value"]
         tables.write_batch(fresh.select(*written, *located), folders.ledger, batch_id)
         appended = spark.read.parquet(f"{folders.ledger}/batch={batch_id}")
+        highest = F.coalesce(F.max("id") + 1, F.lit(first_id)).cast("bigint").alias("next_id")
+        tables.write_batch(appended.agg(highest), folders.marks, batch_id)
 
         state = state_before(spark, folders, batch_id)
         touched = state.join(appended.select(*wac.KEY).distinct(), wac.KEY, "left_semi")

@@ -1,4 +1,8 @@
-"""Call roll-ups as event-time windows; the result of a finished stream is the batch result."""
+"""Call roll-ups by event time; the result of a finished stream is the batch result.
+
+Counts and sums add up, so every micro-batch stores its own part of a window and readers add the
+parts. No watermark is needed: a late call counts, however late it is, and no state is kept.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.operators.telemetry import LATENCY_BOUNDS_US
 
+KEY = ["window_start", "window_end", "tenant_id", "outcome"]
+
 
-def windowed_counts(calls: DataFrame, width: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """Calls, latency sum and cumulative buckets per window, tenant and outcome."""
+def windowed_counts(calls: DataFrame, width: str = "5 minutes") -> DataFrame:
+    """Calls, latency sum and cumulative buckets per window, tenant and outcome of one batch."""
     latency = F.col("latency_us")
     return (
-        calls.withWatermark("ts", late)
-        .groupBy(F.window("ts", width), "tenant_id", "outcome")
+        calls.groupBy(F.window("ts", width), "tenant_id", "outcome")
         .agg(
             F.count("*").alias("calls"),
             F.sum("latency_us").alias("sum_us"),
@@ -23,10 +28,7 @@ def windowed_counts(calls: DataFrame, width: str = "5 minutes", late: str = "1 h
     )
 
 
-def latest_windows(updates: DataFrame) -> DataFrame:
-    """Last update of every window, from rows written per ``batch`` in update mode."""
-    key = ["window_start", "window_end", "tenant_id", "outcome"]
-    values = [c for c in updates.columns if c not in (*key, "batch")]
-    return updates.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("u")).select(
-        *key, "u.*"
-    )
+def added_windows(parts: DataFrame) -> DataFrame:
+    """Windows from the parts that the micro-batches stored, one folder per ``batch``."""
+    values = [c for c in parts.columns if c not in (*KEY, "batch")]
+    return parts.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in values])

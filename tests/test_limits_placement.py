@@ -84,50 +84,50 @@ def test_outage_intervals(spark):
     assert got == [(0, 2, 20 * S), (2, 2, 20 * S), (1, 1, 10 * S), (0, 1, 0)]
 
 
-RESERVATIONS = [
-    ({"a": 2, "b": 1, "c": 3}, 1, 8), ({"a": 2, "b": 1}, 1, 8), ({"a": 1, "b": 4}, 1, 12),
-    ({"a": 3}, 1, 4), ({"a": 2, "b": 3}, 1, 5), ({"a": 6}, 3, 8), ({"a": 4, "b": 3, "c": 3}, 1, 8),
-    ({"a": 1}, 1, 1), ({"a": 0, "b": -2}, 2, 6),
-]
-
-
-def _reserve(reserved, total):
-    capacity = total - 1 if total > 1 else 1
-    cursor, out, dropped = 0, {}, []
-    for tenant in sorted(reserved):
-        if cursor >= capacity:
-            dropped.append(tenant)
-            continue
-        size = min(max(reserved[tenant], 1), capacity - cursor)
-        out[tenant] = (cursor, size)
-        cursor += size
-    return out, dropped, cursor
-
-
-@pytest.mark.parametrize("reserved,default,total", RESERVATIONS)
-def test_reservations(spark, reserved, default, total):
+def _plans():
+    rng = random.Random(12)
+    for _ in range(8):
+        tenants = [f"r{i}" for i in range(rng.randrange(1, 6))]
+        yield {t: rng.randrange(-1, 7) for t in tenants}, rng.randrange(1, 4), rng.randrange(1, 20)
+
+
+@pytest.mark.parametrize("reserved,default,total", list(_plans()))
+def test_reservations_hold_their_properties(spark, reserved, default, total):
     config = spark.createDataFrame(list(reserved.items()), "tenant_id string, size int")
-    tenants = [*reserved, "p1", "p2", "p3", "p4", "p5"]
+    tenants = [*reserved, *(f"p{i}" for i in range(5))]
     seen = spark.createDataFrame([(t, i) for i, t in enumerate(tenants)], "tenant_id string, first_seen bigint")
-    ranges, dropped, start = _reserve(reserved, total)
-    got = {r.tenant_id: (r.start, r.size) for r in placement.reservation_table(config, total).collect()}
-    assert got == ranges
-    assert sorted(r.tenant_id for r in placement.dropped_tenants(config, total).collect()) == dropped
-    at, pool = start, {}
-    for t in tenants:
-        if t not in ranges and at < total:
-            pool[t] = (at, min(max(default, 1), total - at))
-            at += pool[t][1]
-    got = {r.tenant_id: (r.start, r.size) for r in placement.pool_ranges(seen, config, default, total).collect()}
-    assert got == pool
-    rows = spark.createDataFrame(
-        [(t, f"I{i}") for t in tenants for i in range(10)], "tenant_id string, instrument string"
-    )
+    held = {r.tenant_id: (r.start, r.size) for r in placement.reservation_table(config, total).collect()}
+    dropped = {r.tenant_id for r in placement.dropped_tenants(config, total).collect()}
+    pool = {r.tenant_id: (r.start, r.size) for r in placement.pool_ranges(seen, config, default, total).collect()}
+
+    # Every reservation is held or dropped; those held lie side by side in name order from 0 on.
+    assert held.keys() | dropped == reserved.keys() and not held.keys() & dropped
+    assert list(sorted(held)) == sorted(held, key=lambda t: held[t][0])
+    ends = [0, *(start + size for start, size in sorted(held.values()))]
+    assert [start for start, _ in sorted(held.values())] == ends[:-1]
+    # One partition at least stays for the pool, if there is more than one; nobody is dropped before it is full.
+    room = max(total - 1, 1)
+    assert ends[-1] <= room and (not dropped or ends[-1] == room)
+    assert all(not dropped or t < min(dropped) for t in held)
+    # Sizes are as asked for, one at least; only the last one may be cut.
+    last = max(held, key=lambda t: held[t][0], default=None)
+    for t, (_, size) in held.items():
+        asked = max(reserved[t], 1)
+        assert size == asked or (t == last and size < asked and ends[-1] == room)
+    # The pool's ranges follow without overlap, in order of arrival, for tenants without a reservation.
+    at = ends[-1]
+    for t in sorted(pool, key=lambda t: pool[t][0]):
+        start, size = pool[t]
+        assert start == at and t not in held and 1 <= size <= max(default, 1)
+        at += size
+    assert at <= total
+    assert [t for t in tenants if t in pool] == sorted(pool, key=lambda t: pool[t][0])
+    # Records stay in their tenant's range, or in the pool.
+    rows = spark.createDataFrame([(t, f"I{i}") for t in tenants for i in range(10)], "tenant_id string, instrument string")
     for r in placement.partition_for(rows, seen, config, default, total).collect():
-        low, size = (ranges | pool).get(r.tenant_id, (start, total - start))
+        low, size = (held | pool).get(r.tenant_id, (ends[-1], total - ends[-1]))
         assert 0 <= r.partition < total
-        if size > 0:
-            assert low <= r.partition < low + size
+        assert size <= 0 or low <= r.partition < low + size
 
 
 def test_first_payload_wins(spark):

@@ -123,3 +123,49 @@ def test_upsert_keeps_the_higher_watermark(spark):
 def test_partition_list():
     assert topic.partition_list("0, 1,2") == [0, 1, 2]
     assert topic.bounded_poll() == {}
+
+
+def test_ids_go_on_at_high_batch_numbers(spark, tmp_path):
+    records = _records(60)
+    folders = stream.Folders(str(tmp_path / "late"))
+    for n, (a, b) in zip(range(2**23, 2**23 + 4), ((0, 20), (20, 40), (40, 50), (50, 60))):
+        stream.apply_batch(spark.createDataFrame(records[a:b], TOPIC_RECORD), n, folders)
+    ids = [(r.batch, r.id) for r in tables.read_transactions(spark, folders.ledger).select("batch", "id").collect()]
+    assert len({i for _, i in ids}) == len(ids)
+    by_batch = sorted(ids)
+    assert [i for _, i in by_batch] == sorted(i for _, i in ids)
+    assert _state(spark, folders) == _state(spark, _run(spark, str(tmp_path / "one"), records, 1))
+
+
+def test_late_calls_count(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from ledgerloom.streaming import telemetry
+
+    at = datetime(2026, 1, 5)
+    calls = [(at + timedelta(days=d, minutes=m), "t", "success", 10 * m) for d, m in ((0, 1), (2, 5), (1, 7), (-3, 2), (0, 3))]
+    schema = "ts timestamp, tenant_id string, outcome string, latency_us bigint"
+    for n, call in enumerate(calls):
+        tables.write_batch(telemetry.windowed_counts(spark.createDataFrame([call], schema)), str(tmp_path / "w"), n)
+    parts = spark.read.option("basePath", str(tmp_path / "w")).parquet(f"{tmp_path}/w/batch=*")
+    got = sorted(map(tuple, telemetry.added_windows(parts).select("window_start", "calls", "sum_us").collect()))
+    whole = telemetry.windowed_counts(spark.createDataFrame(calls, schema))
+    assert got == sorted(map(tuple, whole.select("window_start", "calls", "sum_us").collect()))
+    assert sum(g[1] for g in got) == 5
+
+
+def test_request_bodies_may_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a":\n1}\n')
+    assert [r.value for r in topic.read_rest_events(spark, str(tmp_path)).collect()] == ['{"a":\n1}\n']
+    (tmp_path / "a.json").write_text('{"a":\n1}\x1e{"b":2}\x1e')
+    rows = topic.read_rest_events(spark, str(tmp_path), separator="\x1e").collect()
+    assert [r.value for r in rows] == ['{"a":\n1}', '{"b":2}']
+
+
+def test_the_sink_is_handed_the_partition(spark):
+    row = (str(UUID(int=1)), "t", 1, "AAPL", "BUY", U, U, "USD")
+    schema = "event_id string, tenant_id string, schema_version smallint, instrument string, side string, quantity bigint, price bigint, currency string"
+    trades = spark.createDataFrame([row], schema).withColumn("occurred_at", F.current_timestamp())
+    assert topic.wire_records(trades).columns == ["key", "value"]
+    placed = topic.wire_records(trades.withColumn("partition", F.lit(3).cast("bigint")))
+    assert placed.dtypes[2] == ("partition", "int") and placed.first()["partition"] == 3

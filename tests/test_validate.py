@@ -86,3 +86,17 @@ def test_rescale_round_trip(spark):
     up = V.rescale_up(rows, ["v"])
     assert [r.v for r in up.collect()] == [5000000000012345678, None]
     assert str(V.rescale_down(up, ["v"]).first().v) == "50000000000.12345678"
+
+
+@pytest.mark.parametrize("members", [9, 16, 17, 40])
+@pytest.mark.parametrize("note", ["plain", "a\\nb"])
+def test_of_a_repeated_key_the_last_value_counts(spark, members, note):
+    """However many members a body has, and whether or not one of them holds an escape."""
+    body = json.dumps(GOOD)[1:-1]
+    more = "".join(f',"x{"abcdefghijklmnopqrstuvwxyz"[i % 26]}{"yz"[i // 26]}":"{note}"' for i in range(members - 9))
+    known = f'{{"side":"HOLD",{body}{more},"note":"{note}"}}'
+    unknown = f'{{"note":"{note}",{body}{more},"note":"other"}}'
+    last_is_wrong = f'{{{body}{more},"note":"{note}","side":"HOLD"}}'
+    rows = spark.createDataFrame([(0, known), (1, unknown), (2, last_is_wrong)], "id bigint, value string")
+    got = {r["id"]: r["error"] for r in V.validate_rest(rows).collect()}
+    assert got == {0: None, 1: None, 2: V.BAD_SIDE}
