@@ -56,7 +56,8 @@ def gram_ids(text: str) -> np.ndarray:
     last = (codes[-2] << GRAM_BITS) | codes[-1]
     two = np.unique(np.append(three >> GRAM_BITS, last))
     one = np.unique(np.append(two >> GRAM_BITS, codes[-1]))
-    return np.concatenate((one, two, three))
+    # The boundary sign alone says nothing; it is the smallest number.
+    return np.concatenate((one[1:], two, three))
 
 
 @dataclass

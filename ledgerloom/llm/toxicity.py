@@ -27,7 +27,7 @@ from ledgerloom.llm.common import batches, held_out, sample_keys, stored, string
 SAMPLE_PER_CLASS = 3000  # labelled documents of each class the training sees
 FEATURES = 4096  # features the classifier keeps at most
 LEAST_LIFT = 1.0  # log odds a feature must have
-LEAST_Z = 3.5  # and their ratio to the standard error
+LEAST_G = 4.2  # and the root of its likelihood ratio statistic
 L2 = 1e-4
 COUNTERFACTUAL = 1.0  # weight of the squared score change under a swap
 STEPS = 300
@@ -188,11 +188,19 @@ def train(
         F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")
     )
     lift = logit(F.col("n1"), sizes[1]) - logit(F.col("n0"), sizes[0])
-    z = lift / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    share = (F.col("n1") + F.col("n0")) / (sizes[1] + sizes[0])
+
+    def part(n, expected):
+        return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+
+    cells = [(F.col("n1"), share, sizes[1]), (F.col("n0"), share, sizes[0])]
+    g = sum(
+        (part(n, p * total) + part(total - n, (1 - p) * total) for n, p, total in cells), F.lit(0.0)
+    )
     told = (
-        counted.select("feature", lift.alias("lift"), z.alias("z"))
-        .where((F.abs("lift") >= LEAST_LIFT) & (F.abs("z") >= LEAST_Z))
-        .orderBy(F.abs("z").desc(), "feature")
+        counted.select("feature", lift.alias("lift"), F.sqrt(F.greatest(2 * g, F.lit(0.0))).alias("g"))
+        .where((F.abs("lift") >= LEAST_LIFT) & (F.col("g") >= LEAST_G))
+        .orderBy(F.col("g").desc(), "feature")
         .limit(FEATURES)
     )
     names = sorted(r["feature"] for r in told.collect())

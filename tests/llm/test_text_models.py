@@ -62,7 +62,7 @@ def test_the_penalty_takes_weight_off_identity_terms(spark):
 
 
 def test_swapping_exchanges_every_term_of_its_kind():
-    assert toxicity.swapped("A Muslim man") == "a christian men"
+    assert toxicity.swapped("A Muslim man") == "a christian women"
     assert toxicity.swapped("nothing here") is None
 
 
@@ -104,7 +104,7 @@ def test_held_out_accuracy_on_the_table(spark):
 def test_grams_are_the_distinct_pieces_of_every_length():
     text = "Ab1 ab!Ç"
     spaced = re.sub(r"[^a-zç]+", "\0", "\0" + text.lower() + "\0")
-    want = {spaced[i : i + n] for n in (1, 2, 3) for i in range(len(spaced) - n + 1)}
+    want = {spaced[i : i + n] for n in (1, 2, 3) for i in range(len(spaced) - n + 1)} - {"\0"}
     assert langid.gram_ids(text).size == len(want)
     assert np.array_equal(langid.gram_ids(text), np.unique(langid.gram_ids(text)))
 
