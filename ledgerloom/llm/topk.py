@@ -22,14 +22,11 @@ are all returned. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import slices, stored
+from ledgerloom.llm.common import stored
 
 K = 10
 EVERY = 100  # queries are the rows with an id divisible by this
@@ -39,6 +36,7 @@ CELL_CANDIDATES = 8192
 CELL_QUERIES = 1024
 EXACT = 2.0**53
 LARGEST = 2**63 - 1
+PAIRS = 65536  # pairs scored at a time
 
 
 def _whole(vectors: list) -> np.ndarray:
@@ -66,7 +64,7 @@ def _long(scores) -> list[int]:
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
-    """``vec_id`` and ``v``, the usable vectors, repeated rows once."""
+    """``vec_id``, ``v`` and a ``row`` number of the usable vectors, repeated rows once."""
     infinite = float("inf")
     usable = F.forall(
         "v", lambda x: x.isNotNull() & ~F.isnan(x) & (x < F.lit(infinite)) & (x > F.lit(-infinite))
@@ -75,94 +73,128 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
         embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & usable)
         .distinct()
+        .withColumn("row", F.xxhash64("vec_id", "v"))
     )
 
 
+_ENTRY = {"query": "int64", "candidate": "int64"}
+_SCORE = {"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64"}
+
+
+def _table(kinds: dict[str, str], parts: list[pd.DataFrame]) -> pd.DataFrame:
+    if parts:
+        return pd.concat(parts)
+    return pd.DataFrame({name: pd.Series([], dtype=kind) for name, kind in kinds.items()})
+
+
 class _Cells:
-    """Blocks of queries and candidates, dealt to cells by hashes of their ids."""
+    """Queries and candidates, dealt to cells by their row numbers; a cell sees all pairs of its own."""
 
     def __init__(self, queries: DataFrame, candidates: DataFrame, blocks: int) -> None:
         told = candidates.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
-        self.width = max(1, -(-(told["width"] or 1) // blocks))
         self.blocks = blocks
+        self.width = max(1, -(-(told["width"] or 1) // blocks))
         self.groups = max(1, -(-told["n"] // CELL_CANDIDATES))
         self.batches = max(1, -(-queries.count() // CELL_QUERIES))
-        self.candidates = self._dealt(candidates, "group", self.groups, "batch", self.batches)
+        self.queries, self.candidates = queries, candidates
 
-    def _dealt(self, rows: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+    # Both sides of a cell must have the same types: equal numbers of other types hash differently.
+    def _group(self, row):
+        return F.pmod(F.xxhash64(row), F.lit(self.groups)).cast("int").alias("group")
+
+    def _batch(self, row):
+        return F.pmod(F.xxhash64(row), F.lit(self.batches)).cast("int").alias("batch")
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("group")
+        return queries.select("*", self._batch("row")).select("*", every)
+
+    def _held(self) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(self.batches - 1))).alias("batch")
+        return self.candidates.select("*", self._group("row")).select("*", every)
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
         block = F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block")
-        rows = rows.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n)))
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).select("*", block)
+        rows = rows.select("*", block)
         return rows.withColumn("v", F.slice("v", F.col("block") * self.width + 1, self.width))
 
     def lists(self, queries: DataFrame, k: int | None) -> DataFrame:
-        """Entries of the nodes' lists: the best ``k``, or all that reach the query's threshold."""
+        """Entries of the nodes' lists, a node being a block of a cell: the best ``k`` with their
+        partial scores, or all that reach the query's threshold."""
         blocks = self.blocks
 
         def entries(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            empty = pd.DataFrame({"query_id": [], "block": [], "vec_id": [], "partial": []})
-            if asked.empty or held.empty:
-                return empty.astype({"query_id": "int64", "block": "int32", "vec_id": "int64", "partial": "float64"})
-            ids = held["vec_id"].to_numpy()
-            scores = _products(_whole(list(asked["v"])), _whole(list(held["v"])))
             found = []
-            for row, query_id in enumerate(asked["vec_id"]):
-                line = scores[row]
-                if k is not None:
-                    at = np.argsort(-line, kind="stable")[: k + 1] if line.dtype == object else (
-                        np.argpartition(-line, min(k, line.size - 1))[: k + 1])
-                    at = at[ids[at] != query_id]
-                else:
-                    cutoff = asked["cutoff"].iloc[row]
-                    if cutoff is None or np.isnan(cutoff):
-                        at = np.flatnonzero(ids != query_id)
+            if len(asked) and len(held):
+                ids, rows = held["vec_id"].to_numpy(), held["row"].to_numpy()
+                scores = _products(_whole(list(asked["v"])), _whole(list(held["v"])))
+                for at, (query, query_id) in enumerate(zip(asked["row"], asked["vec_id"])):
+                    line, other = scores[at], ids != query_id
+                    if k is None:
+                        cutoff = asked["cutoff"].iloc[at]
+                        if cutoff is not None and not np.isnan(cutoff):
+                            # Doubles may have rounded the cutoff of very large scores.
+                            other &= (line * blocks >= cutoff - abs(cutoff) * 1e-12).astype(bool)
+                        best = np.flatnonzero(other)
                     else:
-                        # Doubles may have rounded the cutoff of very large scores.
-                        least = cutoff - abs(cutoff) * 1e-12
-                        at = np.flatnonzero((line * blocks >= least) & (ids != query_id))
-                if at.size:
-                    found.append(pd.DataFrame({
-                        "query_id": query_id, "block": key[2], "vec_id": ids[at],
-                        "partial": line[at].astype(np.float64)}))
-            return pd.concat(found) if found else empty.astype(
-                {"query_id": "int64", "block": "int32", "vec_id": "int64", "partial": "float64"})
-
-        asked = self._dealt(queries, "batch", self.batches, "group", self.groups)
-        cell = ["group", "batch", "block"]
+                        best = np.flatnonzero(other)
+                        best = best[np.argsort(-line[best], kind="stable")[:k]]
+                    if best.size:
+                        found.append(pd.DataFrame({"query": query, "candidate": rows[best]}))
+                        if k is not None:
+                            found[-1]["block"] = key[2]
+                            found[-1]["partial"] = line[best].astype(np.float64)
+            kinds = _ENTRY if k is None else _ENTRY | {"block": "int32", "partial": "float64"}
+            return _table(kinds, found)
+
+        node = ["group", "batch", "block"]
+        schema = "query bigint, candidate bigint" + ("" if k is None else ", block int, partial double")
         return (
-            asked.groupBy(*cell)
-            .cogroup(self.candidates.groupBy(*cell))
-            .applyInPandas(entries, "query_id bigint, block int, vec_id bigint, partial double")
+            self._blocks(self._asked(queries)).groupBy(*node)
+            .cogroup(self._blocks(self._held()).groupBy(*node))
+            .applyInPandas(entries, schema)
         )
 
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """The exact score of each pair of row numbers, worked out in the cell that has both."""
 
-def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The exact score of each ``query_id`` and ``vec_id``."""
-
-    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for batch in slices(part, 1024):
-                a, b = _whole(batch.column("a").to_pylist()), _whole(batch.column("b").to_pylist())
-                width = min(a.shape[1], b.shape[1])
-                a, b = a[:, :width], b[:, :width]
-                if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, width) < EXACT:
-                    sums = (a * b).sum(axis=1)
-                else:
-                    sums = [sum(int(x) * int(y) for x, y in zip(p, q)) for p, q in zip(a, b)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id"), batch.column("vec_id"), pa.array(_long(sums), pa.int64())],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    a = vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("a"))
-    return (
-        pairs.join(a, "query_id")
-        .join(vectors.withColumnRenamed("v", "b"), "vec_id")
-        .select("query_id", "vec_id", "a", "b")
-        .mapInArrow(score, "query_id bigint, vec_id bigint, score bigint")
-        .groupBy("query_id", "vec_id")
-        .agg(F.max("score").alias("score"))
-    )
+        def resolve(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(pairs):
+                asked, held = own[own["asked"]], own[~own["asked"]]
+                asked, held = asked.sort_values("row"), held.sort_values("row")
+                left, right = _whole(list(asked["v"])), _whole(list(held["v"]))
+                width = min(left.shape[1], right.shape[1])
+                left, right = left[:, :width], right[:, :width]
+                exact = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(1, width) < EXACT
+                i = np.searchsorted(asked["row"].to_numpy(), pairs["query"].to_numpy())
+                j = np.searchsorted(held["row"].to_numpy(), pairs["candidate"].to_numpy())
+                for a in range(0, i.size, PAIRS):
+                    one, two = left[i[a : a + PAIRS]], right[j[a : a + PAIRS]]
+                    if exact:
+                        scores = np.einsum("ij,ij->i", one, two).astype(np.int64)
+                    else:
+                        scores = np.array(_long(
+                            sum(int(x) * int(y) for x, y in zip(p, q)) for p, q in zip(one, two)), np.int64)
+                    found.append(pd.DataFrame({
+                        "query": pairs["query"].to_numpy()[a : a + PAIRS],
+                        "query_id": asked["vec_id"].to_numpy()[i[a : a + PAIRS]],
+                        "vec_id": held["vec_id"].to_numpy()[j[a : a + PAIRS]],
+                        "score": scores,
+                    }))
+            return _table(_SCORE, found)
+
+        cell = ["group", "batch"]
+        columns = ["group", "batch", "row", "vec_id", "v"]
+        own = self._asked(self.queries).select(*columns, F.lit(True).alias("asked")).union(
+            self._held().select(*columns, F.lit(False).alias("asked"))
+        )
+        return (
+            pairs.select("query", "candidate", self._group("candidate"), self._batch("query"))
+            .groupBy(*cell)
+            .cogroup(own.groupBy(*cell))
+            .applyInPandas(resolve, "query bigint, query_id bigint, vec_id bigint, score bigint")
+        )
 
 
 def top_products(
@@ -179,26 +211,32 @@ def top_products(
     )
     cells = _Cells(queries, candidates, blocks)
 
-    best = Window.partitionBy("query_id", "block").orderBy(F.desc("partial"), "vec_id")
+    best = Window.partitionBy("query", "block").orderBy(F.desc("partial"), "candidate")
     gathered = (
         cells.lists(queries, k)
         .withColumn("_n", F.row_number().over(best))
         .where(F.col("_n") <= k)
-        .select("query_id", "vec_id")
+        .select("query", "candidate")
         .distinct()
     )
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # A vec_id with several vectors is one candidate.
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     cutoffs = (
-        _scored(gathered, vectors)
+        cells.scored(gathered)
+        .groupBy("query", "vec_id")
+        .agg(F.max("score").alias("score"))
         .withColumn("_n", F.row_number().over(ranked))
         .where(F.col("_n") == k)
-        .select(F.col("query_id").alias("_query"), F.col("score").cast("double").alias("cutoff"))
+        .select("query", F.col("score").cast("double").alias("cutoff"))
     )
-    asked = queries.join(cutoffs, F.col("vec_id") == F.col("_query"), "left").drop("_query")
-    sufficient = cells.lists(stored(asked, "topk-cutoffs"), None).select("query_id", "vec_id").distinct()
+    asked = queries.join(cutoffs, F.col("row") == F.col("query"), "left").drop("query")
+    sufficient = cells.lists(stored(asked, "topk-cutoffs"), None).distinct()
+    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        _scored(sufficient, vectors)
-        .withColumn("rank", F.row_number().over(ranked))
+        cells.scored(sufficient)
+        .groupBy("query_id", "vec_id")
+        .agg(F.max("score").alias("score"))
+        .withColumn("rank", F.row_number().over(final))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
