@@ -18,20 +18,22 @@ def _capacity(total: int) -> int:
     return total - 1 if total > 1 else 1
 
 
-def _laid_out(reserved: DataFrame, total: int) -> DataFrame:
+def reservation_table(reserved: DataFrame, total: int) -> DataFrame:
+    """Ranges of the tenants in ``reserved(tenant_id, size)`` that fit.
+
+    Every reservation takes a partition at least, so no more than the first
+    ``capacity`` tenants can fit; only these meet in the window.
+    """
+    capacity = _capacity(max(total, 1))
     wanted = F.greatest(F.coalesce(F.col("size"), F.lit(1)), F.lit(1)).cast("bigint")
     ends = F.sum("wanted").over(
         Window.orderBy("tenant_id").rowsBetween(Window.unboundedPreceding, 0)
     )
-    return reserved.withColumn("wanted", wanted).withColumn("start", ends - F.col("wanted"))
-
-
-def reservation_table(reserved: DataFrame, total: int) -> DataFrame:
-    """Ranges of the tenants in ``reserved(tenant_id, size)`` that fit."""
-    total = max(total, 1)
-    capacity = _capacity(total)
     return (
-        _laid_out(reserved, total)
+        reserved.select("tenant_id", wanted.alias("wanted"))
+        .orderBy("tenant_id")
+        .limit(capacity)
+        .withColumn("start", ends - F.col("wanted"))
         .where(F.col("start") < capacity)
         .select(
             "tenant_id", "start", F.least("wanted", F.lit(capacity) - F.col("start")).alias("size")
@@ -41,13 +43,14 @@ def reservation_table(reserved: DataFrame, total: int) -> DataFrame:
 
 def dropped_tenants(reserved: DataFrame, total: int) -> DataFrame:
     """Reservations that got no partition at all."""
-    total = max(total, 1)
-    return _laid_out(reserved, total).where(F.col("start") >= _capacity(total)).select("tenant_id")
+    fits = reservation_table(reserved, total)
+    return reserved.select("tenant_id").join(fits, "tenant_id", "left_anti")
 
 
-def _pool(explicit: DataFrame, total: int) -> tuple[int, int]:
-    taken = explicit.agg(F.sum("size")).first()[0] or 0
-    return taken, max(total, 1) - taken
+def _pool(explicit: DataFrame, total: int) -> tuple[Column, Column]:
+    """Start and size of what reservations leave, as scalar subqueries."""
+    taken = F.coalesce(explicit.agg(F.sum("size").alias("taken")).scalar(), F.lit(0).cast("bigint"))
+    return taken, F.lit(max(total, 1)) - taken
 
 
 def pool_ranges(
@@ -58,7 +61,7 @@ def pool_ranges(
     pool_start, pool_size = _pool(explicit, total)
     size = max(default_size, 1)
     # No more tenants than this can get a range, so the ordering below stays small.
-    slots = -(-pool_size // size)
+    slots = -(-max(total, 1) // size)
     newcomers = (
         arrivals.join(explicit, "tenant_id", "left_anti")
         .orderBy("first_seen", "tenant_id")
@@ -66,10 +69,11 @@ def pool_ranges(
     )
     turn = F.row_number().over(Window.orderBy("first_seen", "tenant_id")) - 1
     offset = turn.cast("bigint") * size
-    return newcomers.select("tenant_id", offset.alias("offset")).select(
+    left = pool_size - F.col("offset")
+    return newcomers.select("tenant_id", offset.alias("offset")).where(left > 0).select(
         "tenant_id",
-        (F.lit(pool_start) + F.col("offset")).cast("bigint").alias("start"),
-        F.least(F.lit(size), F.lit(pool_size) - F.col("offset")).cast("bigint").alias("size"),
+        (pool_start + F.col("offset")).cast("bigint").alias("start"),
+        F.least(F.lit(size), left).cast("bigint").alias("size"),
     )
 
 
@@ -96,11 +100,8 @@ def partition_for(
         "tenant_id", F.col("start").alias("_start"), F.col("size").alias("_size")
     )
     # With no pool at all everybody shares partition 0.
-    shared = (
-        F.lit(pool_start).cast("bigint") + fnv1a32(F.col("tenant_id")) % F.lit(pool_size)
-        if pool_size > 0
-        else F.lit(0).cast("bigint")
-    )
+    in_pool = pool_start + fnv1a32(F.col("tenant_id")) % F.greatest(pool_size, F.lit(1))
+    shared = F.when(pool_size > 0, in_pool).otherwise(F.lit(0).cast("bigint"))
     own = F.col("_start") + fnv1a32(F.col("instrument")) % F.col("_size")
     return (
         rows.join(F.broadcast(ranges), "tenant_id", "left")

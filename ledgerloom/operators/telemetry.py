@@ -7,6 +7,9 @@ bounded by time, not by traffic.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Latency bucket bounds in microseconds, and the label of strangers.
@@ -107,28 +110,44 @@ def histogram_quantile(
     )
 
 
-def exact_quantile(calls: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank quantiles of the raw latencies.
+def exact_quantile(
+    calls: DataFrame, by: list[str], quantiles: dict[str, float], cell_us: int = 1000
+) -> DataFrame:
+    """Exact nearest-rank quantiles of the raw latencies; calls without a latency do not count.
 
-    Equal latencies are counted before the ordering, so a series' window holds
-    its distinct latencies, however many calls there were.
+    Equal latencies are counted before any ordering. Cells of ``cell_us`` give
+    the running count of a series, one row per cell; the at most ``cell_us``
+    latencies of a cell are ordered only where a wanted rank falls into it.
     """
-    counted = calls.groupBy(*by, "latency_us").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy("latency_us")
-    ranked = counted.withColumns(
-        {
-            "_upto": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "_total": F.sum("_n").over(Window.partitionBy(*by)),
-        }
+    timed = calls.where(F.col("latency_us").isNotNull())
+    counted = timed.groupBy(
+        *by, F.expr(f"latency_us div {cell_us}L").alias("_cell"), "latency_us"
+    ).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = (
+        counted.groupBy(*by, "_cell").agg(F.sum("_n").alias("_in"))
+        .withColumns({"_to": F.sum("_in").over(upto), "_total": F.sum("_in").over(whole)})
+    )
+    ranks = {
+        name: F.greatest(F.ceil(F.lit(q) * F.col("_total")), F.lit(1)) for name, q in quantiles.items()
+    }
+    before = F.col("_to") - F.col("_in")
+    holds = [(before < rank) & (rank <= F.col("_to")) for rank in ranks.values()]
+    place = [*by, "_cell"]
+    wanted = cells.where(functools.reduce(operator.or_, holds)).select(
+        *[F.col(c).alias(f"_at_{c}") for c in place], before.alias("_before"), "_total"
+    )
+    inside = (
+        Window.partitionBy(*place).orderBy("latency_us").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place]
+    ranked = counted.join(wanted, functools.reduce(operator.and_, same)).withColumn(
+        "_upto", F.col("_before") + F.sum("_n").over(inside)
     )
     at = [
-        F.min(
-            F.when(
-                F.col("_upto") >= F.greatest(F.ceil(F.lit(q) * F.col("_total")), F.lit(1)),
-                F.col("latency_us"),
-            )
-        ).alias(name)
-        for name, q in quantiles.items()
+        F.min(F.when(F.col("_upto") >= rank, F.col("latency_us"))).alias(name)
+        for name, rank in ranks.items()
     ]
     return ranked.groupBy(*by).agg(F.first("_total").alias("observations"), *at)
 

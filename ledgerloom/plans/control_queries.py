@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.operators import control, limits, telemetry
 from ledgerloom.plans import sqltext as S, views as V
-from ledgerloom.plans.registry import query
+from ledgerloom.plans.registry import ORACLES, query
 from ledgerloom.sources import samples as metric_source
 
 QUANTILES = {"p50": 0.5, "p99": 0.99}
@@ -549,12 +551,21 @@ def at_max_replicas(spark, sf):
 )
 def rate_limit_verdicts(spark, sf):
     """A thousandth of a call per second and tenant, bursts of three."""
-    from fractions import Fraction
+    return limits.rate_limit_verdicts(_limited_calls(spark, sf), Fraction(1, 1000), 3)
+
 
-    calls = V.call_log(spark, sf).select(
+def _limited_calls(spark, sf) -> DataFrame:
+    return V.call_log(spark, sf).select(
         F.col("tenant_id").alias("key"), F.unix_micros("ts").alias("ts_us"), "call_id"
     )
-    return limits.rate_limit_verdicts(calls, Fraction(1, 1000), 3)
+
+
+@query("rate_limit_segmented", ORACLES["rate_limit_verdicts"])
+def rate_limit_segmented(spark, sf):
+    """The same verdicts by the path of long keys, several segments per tenant."""
+    return limits.rate_limit_verdicts(
+        _limited_calls(spark, sf), Fraction(1, 1000), 3, segment_rows=200
+    )
 
 
 @query(

@@ -42,6 +42,41 @@ def wac_trace(spark, sf):
     )
 
 
+SEGMENT_ROWS = 16
+
+
+@query(
+    "wac_trace_segmented",
+    f"""with recursive {S.TRADES} {S.trace('trades')}
+    select tenant_id, instrument, id, cast(pos as bigint) as "position",
+      cast(avg as bigint) as average_cost, cast(realized as bigint) as realized,
+      cast(pnl as bigint) as realized_pnl from traced""",
+)
+def wac_trace_segmented(spark, sf):
+    """The trace by the path of long keys: segments so short that most keys have several."""
+    traced = wac.wac_trace(
+        V.trades(spark, sf), sizing=V.trade_deliveries(spark, sf), segment_rows=SEGMENT_ROWS
+    )
+    return traced.select(
+        "tenant_id", "instrument", "id", "position", "average_cost", "realized", "realized_pnl"
+    )
+
+
+def _one_key(spark, sf) -> DataFrame:
+    """All trades of a tenant under one instrument."""
+    return V.trades(spark, sf).withColumn("instrument", F.lit("ALL"))
+
+
+@query(
+    "wac_state_hot_key",
+    f"""with {S.TRADES}, hot as (select id, tenant_id, 'ALL' as instrument, side, quantity, price
+      from trades) {S.fold('hot')} select {S.STATE_COLUMNS} from folded""",
+)
+def wac_state_hot_key(spark, sf):
+    """A few keys hold everything and are folded in segments of their rows."""
+    return wac.wac_state(_one_key(spark, sf), segment_rows=20 * SEGMENT_ROWS)
+
+
 @query(
     "wac_incremental",
     f"""with {S.TRADES},
