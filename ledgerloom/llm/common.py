@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ledgerloom.session import scratch_folder
 
 FOLDS = 5
+SAMPLE_SALTS = 64  # parts a label's keys are cut in before the smallest ones are taken
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,16 +33,24 @@ def held_out(key: Column) -> Column:
 def sample_keys(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     """At most ``per_label`` distinct values of ``key`` per label, the smallest ones.
 
-    ``key`` should be a hash. Spark cuts each task's rows to ``per_label`` before the
-    shuffle, so a label that holds most rows is no hot group.
+    ``key`` should be a hash. A label that holds most rows is no hot group: it is cut to
+    ``per_label`` keys in each of ``SAMPLE_SALTS`` parts, taken from other bits of the hash than
+    its order, before its parts meet.
     """
-    order = Window.partitionBy(label).orderBy("key")
-    return (
+    part = F.pmod("key", F.lit(SAMPLE_SALTS)).alias("_part")
+    order = Window.partitionBy(label, "_part").orderBy("key")
+    cut = (
         rows.select("key", label)
         .groupBy("key", label)
         .agg(F.lit(1).alias("_one"))
+        .select("key", label, part)
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= per_label)
+    )
+    return (
+        cut.select("key", label)
+        .withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy("key")))
+        .where(F.col("_rank") <= per_label)
         .select("key", label)
     )
 
