@@ -17,6 +17,8 @@ from ledgerloom.llm import bpe, decontaminate, langid, ngramjoin, toxicity
 from ledgerloom.llm.common import stored, table
 from ledgerloom.session import prepare
 
+NEAR_WORDS, NEAR_LEAST = 5, 80  # near copies: shingles of so many words, percent of them shared
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -27,7 +29,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngramjoin.one_of_each(docs)
+    return ngramjoin.one_of_each(docs, NEAR_WORDS, NEAR_LEAST)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

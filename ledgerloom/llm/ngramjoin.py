@@ -1,11 +1,12 @@
 """Similarity join of documents on their word shingles, and the components of its links.
 
-Two documents link when the Jaccard similarity of their sets of ``WORDS``-word shingles is at least
-``LEAST`` percent. Equal sets are folded first; what follows sees each set once.
+Two documents link when the Jaccard similarity of their sets of ``words``-word shingles is at least
+``least`` percent, by default ``WORDS`` and ``LEAST``. Equal sets are folded first; what follows sees
+each set once.
 
 Candidates come from prefixes with token combinations. Shingles that more than ``FREQUENT`` documents hold
 are frequent, the others are rare. A set is ordered rare before frequent, then by hash. If two sets link, the first
-``n - ceil(LEAST * n / 100) + c`` shingles of both share at least ``c``. Frequent shingles fall into
+``n - ceil(least * n / 100) + c`` shingles of both share at least ``c``. Frequent shingles fall into
 ``CLASSES`` classes. With ``c = CLASSES + 1`` two linked prefixes share a rare shingle or two of one class, so a
 prefix is indexed under each rare shingle and under each pair of frequent ones of one class: a
 passage that many documents repeat makes no candidates by one shingle. Small and very large sets, for
@@ -18,7 +19,7 @@ look; all pairs of members in different components are then verified too, so no
 is missed. What is not verified are pairs that are already connected.
 
 Defined results: null or wordless text has an empty set, links with nothing and is its own component.
-Fewer words than ``WORDS`` make one shingle. Rows that share a doc_id are one node. Rows with a null doc_id
+Fewer words than ``words`` make one shingle. Rows that share a doc_id are one node. Rows with a null doc_id
 link with nothing and get a null component. Repeated rows get one result each; other columns are ignored,
 whatever their names. Shingles are compared by 64-bit hashes.
 """
@@ -192,12 +193,12 @@ def _has(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
-def prefix_size(n: int) -> int:
+def prefix_size(n: int, least: int = LEAST) -> int:
     """Of ``n`` shingles in order, so many are the prefix in which linked sets share CLASSES + 1."""
-    return min(n, n - -(-LEAST * n // 100) + CLASSES + 1)
+    return min(n, n - -(-least * n // 100) + CLASSES + 1)
 
 
-def keys_of(h: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(h: np.ndarray, frequent: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """The keys under which a set is indexed; ``frequent`` tells which shingles are.
 
     Beside each key, how many shingles of the set can be shared if the key holds the first shared one:
@@ -206,15 +207,15 @@ def keys_of(h: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray
     shingle, or share frequent ones only.
     """
     n = h.size
-    # A set of up to five shingles links with equal ones only.
-    if n <= 5:
+    # A set links with equal ones only if one shingle more is too many (at 85 percent, up to five shingles).
+    if 100 * n < least * (n + 1):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     rare, often = h[~frequent], h[frequent]
-    size, least = prefix_size(n), -(-LEAST * n // 100)
+    size = prefix_size(n, least)
     # Of any two linked sets, so many of the first shingles share one.
-    single = n - least + 1
+    single = n - -(-least * n // 100) + 1
     both = n <= SMALL or n >= LARGE
-    paired = n * 100 >= SMALL * LEAST and n * LEAST <= LARGE * 100
+    paired = n * 100 >= SMALL * least and n * least <= LARGE * 100
     first = rare[: size if paired else single]
     keys, rest = [first], [n - np.arange(first.size)]
     if both and rare.size < single:
@@ -234,9 +235,9 @@ def keys_of(h: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys), np.concatenate(rest)
 
 
-def head_of(h: np.ndarray, frequent: np.ndarray) -> tuple[bytes, int]:
+def head_of(h: np.ndarray, frequent: np.ndarray, least: int = LEAST) -> tuple[bytes, int]:
     """Sorted 32-bit parts of the prefix, and the place of its last shingle in the order."""
-    size = prefix_size(h.size)
+    size = prefix_size(h.size, least)
     rare = h[~frequent][:size]
     often = h[frequent][: size - rare.size]
     last = int(often[-1] >> np.uint64(1)) if often.size else int(rare[-1] >> np.uint64(1)) - 2**63
@@ -244,7 +245,9 @@ def head_of(h: np.ndarray, frequent: np.ndarray) -> tuple[bytes, int]:
     return np.sort(both.astype(np.uint32)).tobytes(), last
 
 
-def may_link(n: int, last: int, head: np.ndarray, other_n: int, other_last: int, other: np.ndarray) -> bool:
+def may_link(
+    n: int, last: int, head: np.ndarray, other_n: int, other_last: int, other: np.ndarray, least: int = LEAST
+) -> bool:
     """Whether two prefixes leave room for enough shared shingles.
 
     Of the set whose prefix ends first, every shared shingle up to that end is in both prefixes, and all
@@ -254,7 +257,7 @@ def may_link(n: int, last: int, head: np.ndarray, other_n: int, other_last: int,
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
     rest = n - head.size if last <= other_last else other_n - other.size
-    return (shared + rest) * (100 + LEAST) >= LEAST * (n + other_n)
+    return (shared + rest) * (100 + least) >= least * (n + other_n)
 
 
 def _lists(indexed: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
@@ -266,7 +269,7 @@ def _lists(indexed: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     )
 
 
-def _indexed(words: int, ranges: int, shared) -> Callable:
+def _indexed(words: int, least: int, ranges: int, shared) -> Callable:
     def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for part in parts:
@@ -274,8 +277,8 @@ def _indexed(words: int, ranges: int, shared) -> Callable:
                 sets = shingle_sets(batch.column("text").to_pylist(), words)
                 cuts = np.cumsum([h.size for h in sets])[:-1]
                 often = np.split(_has(frequent, _fingerprints(np.concatenate(sets), ranges)), cuts)
-                keys = [keys_of(h, f) for h, f in zip(sets, often)]
-                heads = [head_of(h, f) if h.size else (None, None) for h, f in zip(sets, often)]
+                keys = [keys_of(h, f, least) for h, f in zip(sets, often)]
+                heads = [head_of(h, f, least) if h.size else (None, None) for h, f in zip(sets, often)]
                 digests = [xxhash.xxh3_128_digest(h.tobytes()) if h.size else None for h in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -329,44 +332,50 @@ def _sets_of(words: int) -> Callable:
     return sets
 
 
-def _possible(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for batch in slices(part, 2048):
-            columns = [batch.column(c).to_pylist() for c in ("un", "ul", "uh", "vn", "vl", "vh")]
-            keep = [
-                may_link(un, ul, np.frombuffer(uh, np.uint32), vn, vl, np.frombuffer(vh, np.uint32))
-                for un, ul, uh, vn, vl, vh in zip(*columns)
-            ]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def _possible(least: int) -> Callable:
+    def possible(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for batch in slices(part, 2048):
+                columns = [batch.column(c).to_pylist() for c in ("un", "ul", "uh", "vn", "vl", "vh")]
+                keep = [
+                    may_link(un, ul, np.frombuffer(uh, np.uint32), vn, vl, np.frombuffer(vh, np.uint32), least)
+                    for un, ul, uh, vn, vl, vh in zip(*columns)
+                ]
+                yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return possible
 
 
-def _verified(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for batch in slices(part, 512):
-            keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = int(_has(y, x).sum())
-                keep.append(100 * both >= LEAST * (x.size + y.size - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def _verified(least: int) -> Callable:
+    def verified(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for batch in slices(part, 512):
+                keep = []
+                for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                    both = int(_has(y, x).sum())
+                    keep.append(100 * both >= least * (x.size + y.size - both))
+                yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return verified
 
 
-def _fits(n: str, rest: str, other_n: str, other_rest: str):
+def _fits(least: int, n: str, rest: str, other_n: str, other_rest: str):
     """Whether two members of a bucket can link; see ``keys_of``."""
-    return F.least(rest, other_rest) * (100 + LEAST) >= (F.col(n) + F.col(other_n)) * LEAST
+    return F.least(rest, other_rest) * (100 + least) >= (F.col(n) + F.col(other_n)) * least
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, words: int) -> None:
+    def __init__(self, docs: DataFrame, words: int, least: int) -> None:
         self.spark = docs.sparkSession
-        self.words = words
+        self.words, self.least = words, least
         self.docs = docs.select("doc_id", "text")
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ranges = max(RANGES, 4 * partitions)
         frequent = self.spark.sparkContext.broadcast(
             frequent_shingles(self.docs, words, FREQUENT, ranges)
         )
-        index = _indexed(words, ranges, frequent)
+        index = _indexed(words, least, ranges, frequent)
         kind = dict(self.docs.dtypes)["doc_id"]
         self.rows = stored(
             self.docs.mapInArrow(
@@ -405,7 +414,7 @@ class _Join:
             pairs.join(heads("u"), "u")
             .join(heads("v"), "v")
             .select("u", "v", "un", "ul", "uh", "vn", "vl", "vh")
-            .mapInArrow(_possible, "u bigint, v bigint")
+            .mapInArrow(_possible(self.least), "u bigint, v bigint")
         )
         # A doc_id with several texts may hold several classes.
         pairs = stored(pairs.distinct(), "shingle-pairs")
@@ -419,7 +428,7 @@ class _Join:
             pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("h").alias("a")), "u")
             .join(sets.select(F.col("doc_id").alias("v"), F.col("h").alias("b")), "v")
             .select("u", "v", "a", "b")
-            .mapInArrow(_verified, "u bigint, v bigint")
+            .mapInArrow(_verified(self.least), "u bigint, v bigint")
             .distinct(),
             "shingle-links",
         )
@@ -428,7 +437,7 @@ class _Join:
         """``node`` and ``component`` of every node that is linked with a smaller one."""
         buckets = self.buckets()
         pairs = (
-            buckets.where(_fits("n", "rest", "leader_n", "leader_rest"))
+            buckets.where(_fits(self.least, "n", "rest", "leader_n", "leader_rest"))
             .select(F.col("leader").alias("u"), F.col("node").alias("v"))
             .distinct()
         )
@@ -464,7 +473,7 @@ class _Join:
         crossing = (
             one.join(two, "key")
             .where("u_c <> v_c and (v_c = u_leader_c or u_node < v_node)")
-            .where(_fits("u_n", "u_rest", "v_n", "v_rest"))
+            .where(_fits(self.least, "u_n", "u_rest", "v_n", "v_rest"))
             .select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
             .distinct()
         )
@@ -474,9 +483,9 @@ class _Join:
         return components(first.union(second))
 
 
-def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def ngram_components(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """Set size and component of every document."""
-    join = _Join(docs, words)
+    join = _Join(docs, words, least)
     found = join.components().select(F.col("node").alias("_node"), "component")
     classes = (
         join.classes
@@ -490,13 +499,13 @@ def ngram_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """The document with the smallest id of every component; columns as they came.
 
     Rows that share a doc_id stay or go together; rows with a null doc_id stay.
     """
     gone = (
-        ngram_components(docs, words)
+        ngram_components(docs, words, least)
         .where("component_id <> doc_id")
         .select(F.col("doc_id").alias("__llm_doc"))
         .distinct()

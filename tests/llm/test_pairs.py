@@ -148,6 +148,55 @@ def test_linked_prefixes_share_a_key():
                 assert any(min(first[k], second[k]) >= least for k in first.keys() & second.keys())
 
 
+def _near(rows, words, least):
+    """The smallest doc_id of every component, by sets of ``words``-word shingles and ``least`` percent."""
+    held, links, sets = defaultdict(list), [], []
+    for i, t in rows:
+        w = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        n = min(words, len(w))
+        sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()))
+    for k, (i, s) in enumerate(sets):
+        shared = Counter(j for g in s for j in held[g])
+        for g in s:
+            held[g].append(k)
+        links += [
+            (i, sets[j][0]) for j, n in shared.items() if 100 * n >= least * (len(s) + len(sets[j][1]) - n)
+        ]
+    least_of = _least(links)
+    return {i for i, _ in sets if least_of.get(i, i) == i}
+
+
+@pytest.mark.parametrize("frequent", [5, 40, 1000])
+def test_stage_drops_near_copies_of_five_words_and_80_percent(spark, monkeypatch, frequent):
+    monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
+    rng = random.Random(9)
+    rows = [r for r in _mixed_rows(7, 160) if r[0] != 3]
+    for k in range(40):
+        # Some of a run of words replaced: near 80 percent, on either side of it.
+        w = [f"z{k}_{i}" for i in range(rng.choice([8, 9, 20, 47, 48, 60, 75, 100, 400, 1700]))]
+        rows.append((30_000 + 2 * k, " ".join(w)))
+        cut = max(1, len(w) * rng.randrange(2, 12) // 100)
+        at = rng.randrange(len(w) - cut + 1)
+        w[at : at + cut] = [f"q{k}_{i}" for i in range(cut)]
+        rows.append((30_001 + 2 * k, " ".join(w)))
+    rows += [(40_000, "c1 c2 c3 c4 c5 c6 c7 c8"), (40_001, "c1 c2 c3 c4 c5 c6 c7 c8 c9")]  # 4 of 5 shingles
+    words = [f"d{i}" for i in range(100)]
+    rows += [(40_002, " ".join(words)), (40_003, " ".join(words[:40] + ["e"] * 5 + words[45:]))]
+    want = _near(rows, 5, 80)
+    assert want != _near(rows, 4, 85) and not {40_001, 40_003} & want
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()} == want
+
+
+@pytest.mark.parametrize(("words", "least"), [(5, 80), (3, 50), (4, 85), (2, 100)])
+def test_join_equals_brute_force_at_other_thresholds(spark, monkeypatch, words, least):
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 20)
+    rows = _mixed_rows(11, 120)
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"] for r in ngramjoin.one_of_each(docs, words, least).collect()}
+    assert got == _near(rows, words, least)
+
+
 # --- decontamination ----------------------------------------------------------------------
 
 
