@@ -11,6 +11,11 @@ the next position at which a valid member or version line starts, goes on from t
 bytes between as a gap. Records after a damaged place are recovered, and every byte of a file belongs
 either to a record, to padding between records, or to a reported gap.
 
+In a member of several records, those that pass are kept, also from the part inflated before a fault,
+and the search goes on in its content. Its records and gaps carry the place of the member, and a gap's
+reason tells the bytes of the content. Where the member does not inflate to its checksum, only records
+with a payload digest that fits are kept. A lone record whose member fails is not: the checksum is its own.
+
 Defined results: null html is an empty payload. A row with a null page_id is written under no number;
 if its payload has a numbered copy it revisits that, else it is a response. Rows that repeat the largest
 page_id of a payload are all responses. A null URL has no target header. Control characters in URLs are
@@ -141,22 +146,40 @@ class Found:
 
 
 class Damaged(ValueError):
-    pass
+    """``kept`` are records and gaps found in the content of a member that does not end well, and
+    ``fault`` is the offset up to which it was inflated."""
+
+    def __init__(self, reason: str, kept: list[Found] | None = None, fault: int = 0) -> None:
+        super().__init__(reason)
+        self.kept, self.fault = kept or [], fault
+
 
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the member at ``at``, the offset after it, and what is wrong with it.
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the member at ``at`` and the offset after it."""
-    unpacker, parts = zlib.decompressobj(31), []
+    If anything is, content and offset are those up to the fault.
+    """
+    start, unpacker, parts = at, zlib.decompressobj(31), []
     while not unpacker.eof:
         piece = data[at : at + _STEP]
         if not piece:
-            raise Damaged("member cut short")
+            return b"".join(parts), at, "member cut short"
         try:
             parts.append(unpacker.decompress(piece))
-        except zlib.error as error:
-            raise Damaged("member does not inflate") from error
+        except zlib.error:
+            # The same again, and the last piece byte by byte: what it holds before the fault.
+            unpacker = zlib.decompressobj(31)
+            for place in range(start, at, _STEP):
+                unpacker.decompress(data[place : place + _STEP])
+            try:
+                for place in range(at, at + len(piece)):
+                    at = place
+                    parts.append(unpacker.decompress(data[place : place + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), at, "member does not inflate"
         at += len(piece) - len(unpacker.unused_data)
-    return b"".join(parts), at
+    return b"".join(parts), at, None
 
 
 def _parse(data: bytes, at: int, end: int) -> tuple[Found, int]:
@@ -189,40 +212,97 @@ def _parse(data: bytes, at: int, end: int) -> tuple[Found, int]:
     return found, stop + 4
 
 
+def _has_digest(found: Found) -> bool:
+    """Whether a record that was parsed had a payload digest to fit."""
+    said = found.headers.get("warc-payload-digest", "")
+    return found.headers.get("warc-type") != "revisit" and said.startswith("sha1:")
+
+
+def _inside(content: bytes, fault: str | None) -> list[Found]:
+    """Records and gaps of a member's content in order, at their places in it."""
+    out, at, size = [], 0, len(content)
+    lost, reason = -1, None
+    while at < size:
+        try:
+            found, after = _parse(content, at, size)
+            if fault == "member does not inflate" and not _has_digest(found):
+                raise Damaged("no digest to tell a record by")
+        except Damaged as error:
+            if lost < 0:
+                lost, reason = at, str(error)
+            at = content.find(_VERSION, at + 1)
+            at = size if at < 0 else at
+            continue
+        if lost >= 0:
+            out.append(Found("gap", lost, at - lost, reason=reason))
+            lost = -1
+        out.append(found)
+        at = after
+    if lost >= 0:
+        out.append(Found("gap", lost, size - lost, reason=reason))
+    return out
+
+
 def _valid(data: bytes, view: memoryview, at: int) -> tuple[list[Found], int]:
-    """The records of the member, or the plain record, at ``at`` and the offset after it."""
-    if data.startswith(_MEMBER, at):
-        content, after = _inflate(view, at)
-        records, inner = [], 0
-        while inner < len(content):
-            found, inner = _parse(content, inner, len(content))
-            found.offset, found.length = at, after - at
-            records.append(found)
-        return records, after
-    found, after = _parse(data, at, len(data))
-    return [found], after
+    """Records and gaps of the member, or the plain record, at ``at`` and the offset after it."""
+    if not data.startswith(_MEMBER, at):
+        found, after = _parse(data, at, len(data))
+        return [found], after
+    content, after, fault = _inflate(view, at)
+    inside = _inside(content, fault)
+    if not any(f.kind == "record" for f in inside):
+        if fault or inside:
+            raise Damaged(fault or inside[0].reason)
+    elif fault and len(inside) == 1:
+        raise Damaged(fault)
+    for f in inside:
+        if f.kind == "gap":
+            f.reason += f" (bytes {f.offset} to {f.offset + f.length} of the member's content)"
+        f.offset, f.length = at, after - at
+    if fault:
+        if inside[-1].kind == "gap":
+            # What fails last is where the member ends; the gap up to the next valid start tells it.
+            fault += f"; {inside.pop().reason}"
+        raise Damaged(fault, inside, after)
+    return inside, after
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """Records and gaps of a file in order."""
     view, at, size = memoryview(data), 0, len(data)
-    lost, reason = -1, None
+    lost, reason, kept, fault = -1, None, [], 0
+
+    def close(stop: int) -> Iterator[Found]:
+        for found in kept:
+            found.length = stop - found.offset
+        yield from kept
+        yield Found("gap", lost, stop - lost, reason=reason)
+
     while at < size:
         try:
             records, after = _valid(data, view, at)
         except Damaged as error:
+            if error.kept and lost >= 0:
+                yield from close(at)
+                lost = -1
             if lost < 0:
-                lost, reason = at, str(error)
+                lost, reason, kept, fault = at, str(error), error.kept, error.fault
             start = _START.search(data, at + 1)
             at = start.start() if start else size
             continue
+        if at < fault and any(
+            (f.headers, f.payload) == (k.headers, k.payload) for f in records for k in kept if k.kind == "record"
+        ):
+            # A record that its member stores as it is, and that has been found in it.
+            at = after
+            continue
         if lost >= 0:
-            yield Found("gap", lost, at - lost, reason=reason)
-            lost = -1
+            yield from close(at)
+            lost, kept, fault = -1, [], 0
         yield from records
         at = after
     if lost >= 0:
-        yield Found("gap", lost, size - lost, reason=reason)
+        yield from close(size)
 
 
 _SCHEMA = (

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -292,6 +293,51 @@ def test_a_wrong_digest_and_a_wrong_length_are_gaps():
     assert [f.kind for f in warc.salvage(b"\x00" * 1000)] == ["gap"]
 
 
+def _numbers(found):
+    return [int(f.headers["warc-record-id"][len("<urn:x-page:") : -1]) for f in found if f.kind == "record"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_bad_record_of_a_member_costs_only_itself(seed):
+    records = _records(12, False, seed)
+    for k in (0, 5, 11):
+        bad = bytearray(b"".join(records[:k]))
+        bad += records[k].replace(b"Payload-Digest: sha1:", b"Payload-Digest: sha1:A", 1) + b"".join(records[k + 1 :])
+        data = warc.member(records[0]) + warc.member(bytes(bad)) + warc.member(records[1])
+        found = list(warc.salvage(data))
+        assert _numbers(found) == [0, *[i for i in range(12) if i != k], 1]
+        gaps = [f for f in found if f.kind == "gap"]
+        assert len(gaps) == 1 and "digest" in gaps[0].reason
+        first = len(warc.member(records[0]))
+        assert (gaps[0].offset, gaps[0].length) == (first, len(warc.member(bytes(bad))))
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("level", [0, 6])
+def test_a_member_cut_short_or_broken_keeps_what_came_before(seed, level):
+    rng = random.Random(seed)
+    records = _records(40, False, seed)
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    # The packer's state goes on from record to record, with a block border after each.
+    parts = [packer.compress(r) + packer.flush(zlib.Z_FULL_FLUSH) for r in records]
+    data = b"".join(parts) + packer.flush()
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    lone = warc.member(records[3])
+    k = rng.randrange(5, 35)
+    found = list(warc.salvage(data[: ends[k] - 9]))
+    assert _numbers(found) == list(range(k))
+    assert [f.kind for f in found][-1] == "gap" and "cut short" in found[-1].reason
+    # A block of a kind that does not exist.
+    broken = bytearray(data)
+    broken[ends[k]] |= 0x06
+    found = list(warc.salvage(bytes(broken) + lone))
+    assert _numbers(found)[: k + 1] == list(range(k + 1)) and _numbers(found)[-1] == 3
+    # A wrong checksum: every payload has its digest.
+    found = list(warc.salvage(data[:-8] + b"\0" * 8 + lone))
+    assert _numbers(found) == [*range(40), 3]
+    assert [f.kind for f in found].count("gap") == 1 and (found[-2].offset, found[-2].length) == (0, len(data))
+
+
 def test_damaged_files_on_spark(spark):
     folder = scratch_folder(spark, "test-warc")
     records = _records(20, True, 9)
