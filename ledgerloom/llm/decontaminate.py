@@ -7,10 +7,14 @@ positions of the two windows are compared, and at most ``SUBSTITUTED`` may diffe
 positions lie in at most two groups, so a mask that ignores both exists: no overlap within the
 tolerance is missed.
 
+An item of fewer than ``SPAN`` tokens is one window of its own length, and overlaps where all its tokens
+stand in a document. It takes part if it has at least ``SHORTEST_TOKENS`` tokens, or at least
+``SHORTEST_LETTERS`` letters and digits, as items in scripts without blanks do; what is shorter than
+both cannot be told from common phrases.
+
 Tokens are runs of letters and digits in lower case.
 
-Defined results: a null or empty text, and one of fewer than ``SPAN`` tokens, is clean. Items of the
-benchmark of fewer than ``SPAN`` tokens cannot be told from common phrases and take no part. Without
+Defined results: a null or empty text is clean, and so is one shorter than every item that takes part. Without
 items every document is clean. Rows that share a doc_id share one verdict: one that overlaps marks all.
 Repeated items report every item id. Other columns are ignored, whatever their names.
 """
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPAN = 12
 GROUPS = 4
 SUBSTITUTED = 2
+SHORTEST_TOKENS, SHORTEST_LETTERS = 6, 24  # items below both take no part
 MASKS = list(combinations(range(GROUPS), GROUPS - SUBSTITUTED))
 BROADCAST_WINDOWS = 100_000  # more windows than this are joined by a shuffle
 
@@ -51,6 +56,34 @@ def _seeds(token) -> Column:
     return F.array(*[F.xxhash64(F.lit(n), *[token(i) for i in places]) for n, places in enumerate(kept)])
 
 
+def _short_items(benchmark: DataFrame) -> DataFrame:
+    """The items of fewer than ``SPAN`` tokens that take part, each as one window."""
+    n, letters = F.size("words"), F.length(F.concat_ws("", "words"))
+    return (
+        benchmark.select("item_id", tokens(F.col("text")).alias("words"))
+        .where((n > 0) & (n < SPAN) & ((n >= SHORTEST_TOKENS) | (letters >= SHORTEST_LETTERS)))
+        .select("item_id", F.transform("words", lambda t: F.xxhash64(t)).alias("item_tokens"))
+    )
+
+
+def _exact(docs: DataFrame, short: DataFrame, lengths: list[int]) -> DataFrame:
+    """The places in documents where all tokens of a short item stand; there are fewer than ``SPAN`` lengths."""
+    wanted = short.select("item_tokens").distinct().withColumn("hash", F.xxhash64("item_tokens"))
+    if wanted.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        wanted = F.broadcast(wanted)
+    return (
+        _hashed(docs, "doc_id")
+        .select("doc_id", "h", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"))
+        .where(F.size("h") >= F.col("n"))
+        .select("doc_id", "h", "n", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("n"))).alias("at"))
+        .select("doc_id", "at", F.slice("h", F.col("at") + 1, F.col("n")).alias("doc_tokens"))
+        .withColumn("hash", F.xxhash64("doc_tokens"))
+        .join(wanted, "hash")
+        .where(F.col("doc_tokens") == F.col("item_tokens"))
+        .select("doc_id", "at", "item_tokens")
+    )
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id`` and the number of windows of the document that overlap the item.
 
@@ -61,7 +94,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     # Windows that several items share, or that an item repeats, are compared once.
     distinct = items.select("item_tokens").distinct()
-    owners = items.select(F.xxhash64("item_tokens").alias("window"), "item_id").distinct()
+    short = _short_items(benchmark)
+    lengths = sorted(r["n"] for r in short.select(F.size("item_tokens").alias("n")).distinct().collect())
+    owners = items.union(short) if lengths else items
+    owners = owners.select(F.xxhash64("item_tokens").alias("window"), "item_id").distinct()
     seeds = distinct.select(
         "item_tokens", F.explode(_seeds(lambda i: F.col("item_tokens")[i])).alias("hash")
     )
@@ -76,11 +112,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "at", "hash", F.slice("h", F.col("at") + 1, SPAN).alias("doc_tokens")
     )
     same = F.size(F.filter(F.zip_with("doc_tokens", "item_tokens", lambda a, b: a == b), lambda x: x))
+    met = probes.join(seeds, "hash").where(same >= SPAN - SUBSTITUTED).select("doc_id", "at", "item_tokens")
+    if lengths:
+        met = met.union(_exact(docs, short, lengths))
     found = (
-        probes.join(seeds, "hash")
-        .where(same >= SPAN - SUBSTITUTED)
         # A window that meets under several masks counts once.
-        .groupBy("doc_id", "at", F.xxhash64("item_tokens").alias("window"))
+        met.groupBy("doc_id", "at", F.xxhash64("item_tokens").alias("window"))
         .agg(F.lit(1).alias("n"))
         .groupBy("doc_id", "window")
         .agg(F.sum("n").alias("n"))

@@ -255,6 +255,27 @@ def test_overlaps_equal_brute_force(spark, monkeypatch, limit):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in docs if not want[d][0])
 
 
+@pytest.mark.parametrize("limit", [100_000, 1])
+def test_short_items_are_found_word_for_word(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    script = "\u8fd9\u662f\u4e00\u4e2a" * 7  # 28 letters without a blank: one token
+    bench = spark.createDataFrame(
+        [(1, "a1 a2 a3 a4 a5 a6"), (2, "A1, a2; a3 a4 a5 a6!"), (3, "of the in a b"), (4, script), (5, None),
+         (6, " ".join(f"b{i}" for i in range(11))), (7, " ".join(f"c{i}" for i in range(20)))],
+        "item_id bigint, text string",
+    )
+    texts = {
+        10: ("x a1 a2 a3 a4 a5 a6 y A1 A2 A3 A4 A5 A6", 2, 4, "1,2"), 11: ("a1 a2 a3 a4 a5 x", 0, 0, ""),
+        12: ("of the in a b", 0, 0, ""), 13: (f"{script}. x", 1, 1, "4"), 14: (script[:-1], 0, 0, ""),
+        15: (" ".join(f"b{i}" for i in range(11)), 1, 1, "6"), 16: (" ".join(f"b{i}" for i in range(10)) + " x", 0, 0, ""),
+        17: (" ".join(f"c{i}" for i in range(12)) + " a1 a2 a3 a4 a5 a6", 3, 5, "1,2,7"), 18: (None, 0, 0, ""),
+    }
+    docs = spark.createDataFrame([(d, t[0]) for d, t in texts.items()], DOCS)
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {d: (n > 0, n, w, i) for d, (_, n, w, i) in texts.items()}
+    assert {r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()} == {11, 12, 14, 16, 18}
+
+
 def test_clean_without_benchmark_or_documents(spark):
     docs = spark.createDataFrame([(1, "a " * 40)], DOCS)
     none = spark.createDataFrame([], "item_id bigint, text string")
