@@ -42,7 +42,8 @@ FREQUENT = 100
 CLASSES = 8
 SMALL, LARGE = 60, 1500  # set sizes up to which, and from which, single shingles are indexed
 MOST_FREQUENT = 1 << 20  # entries of the table of frequent shingles, which is broadcast
-RANGES = 256
+RANGES = 256  # ranges of fingerprints at least
+RANGE_BYTES = 4 << 20  # bytes of text per range, which is at most half as many shingles
 HELD = 2_000_000  # shingles a task counts at a time
 BATCH = 256  # texts taken at a time
 KNOWN_IDS = 1 << 20  # more candidate documents than this are joined, not broadcast
@@ -155,6 +156,12 @@ def _summed(least: int) -> Callable:
     return add
 
 
+def ranges_for(docs: DataFrame, partitions: int) -> int:
+    """So many ranges that the counts of one, which a task holds, do not grow with the corpus."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    return min(1 << 24, max(RANGES, 4 * partitions, -(-size // RANGE_BYTES)))
+
+
 def frequent_shingles(docs: DataFrame, words: int, least: int, ranges: int) -> np.ndarray:
     """Sorted fingerprints of the shingles that more than ``least`` documents hold.
 
@@ -371,7 +378,7 @@ class _Join:
         self.words, self.least = words, least
         self.docs = docs.select("doc_id", "text")
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        ranges = max(RANGES, 4 * partitions)
+        ranges = ranges_for(self.docs, partitions)
         frequent = self.spark.sparkContext.broadcast(
             frequent_shingles(self.docs, words, FREQUENT, ranges)
         )

@@ -112,6 +112,22 @@ def test_join_by_shuffle_where_candidates_are_many(spark, monkeypatch):
     assert Counter(tuple(r) for r in ngramjoin.ngram_components(docs).collect()) == _joined(rows)
 
 
+def test_ranges_of_counts_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "RANGE_BYTES", 100, raising=False)
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 20)
+    asked, count = [], ngramjoin.frequent_shingles
+
+    def counting(docs, words, least, ranges):
+        asked.append(ranges)
+        return count(docs, words, least, ranges)
+
+    monkeypatch.setattr(ngramjoin, "frequent_shingles", counting)
+    rows = _mixed_rows(12, 100)
+    got = Counter(tuple(r) for r in ngramjoin.ngram_components(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == _joined(rows)
+    assert asked == [-(-sum(len(t or "") for _, t in rows) // 100)] and asked[0] > ngramjoin.RANGES
+
+
 def test_join_of_nothing_and_of_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g h"), (4, "a b c d e f g h"), (None, None)], DOCS)
     rows = {tuple(r) for r in ngramjoin.ngram_components(docs).collect()}
