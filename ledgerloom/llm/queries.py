@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from ledgerloom.llm import (
-    bpe, chatformat, decontaminate, langid, ngramjoin, tokencounts, topk, toxicity, urlfilter, warc,
+    alignment, bpe, chatformat, decontaminate, interaction, langid, ngramjoin, sharding, tokencounts, topk, toxicity,
+    urlfilter, warc,
 )
 from ledgerloom.llm.common import table
 from ledgerloom.session import prepare
@@ -221,6 +222,65 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.formatted_conversations(conversations.union(special))
 
 
+@query(
+    "op11_filter_audit",
+    f"""
+    with words as (
+        select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+            list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+        from documents
+    ), first as (
+        select t, min(doc_id) as first from words group by t
+    ), judged as (
+        select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id
+    ), failed as (
+        select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+            case when len(w) < {interaction.LEAST_WORDS} then 'A' else '' end
+            || case when 100 * len(list_distinct(w)) < {interaction.DISTINCT_PERCENT} * len(w) then 'B' else '' end
+            || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {interaction.CAPITAL_PERCENT} * length(t)
+                then 'C' else '' end
+            || case when regexp_matches(t, '{interaction.SYMBOLS}') then 'D' else '' end
+            || case when doc_id > first then 'E' else '' end as fails
+        from words join first using (t) left join judged using (doc_id)
+    ), letters as (
+        select unnest(['A', 'B', 'C', 'D', 'E']) as l
+    ), orders as (
+        select a.l || b.l || c.l || d.l || e.l as filter_order
+        from letters a join letters b on b.l <> a.l join letters c on c.l not in (a.l, b.l)
+            join letters d on d.l not in (a.l, b.l, c.l) join letters e on e.l not in (a.l, b.l, c.l, d.l)
+    ), steps as (
+        select filter_order, step::int as step, filter_order[step] as letter, filter_order[: step - 1] as earlier
+        from orders, range(1, 6) as r(step)
+    ), walked as (
+        select *, contains(fails, letter) as fail, translate(fails, earlier, '') <> fails as gone from failed, steps
+    ), counted as (
+        select part, filter_order, step, letter, count(*) filter (not fail and not gone) as kept,
+            count(*) filter (fail and not gone) as removed, count(*) filter (fail and gone) as redundant,
+            count(*) filter (fails = letter) as unique_fails, count(*) filter (fail and not gone and good) as good_lost,
+            count(*) filter (fail and not gone and toxic) as toxic_lost
+        from walked group by part, filter_order, step, letter
+    )
+    select * exclude (letter), (sum(removed) over (partition by part, letter))::bigint as shapley from counted
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_sharding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = alignment.Files(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return alignment.alignment(table(spark, sf_dir, "documents"), files)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -35,7 +35,7 @@ from ledgerloom.session import scratch_folder
 CACHE_KEY = "spark.ledgerloom.tokenCountCache"  # folder of a lasting cache; unset: one for the run
 OVER = 512
 # What the fast way takes: code points below U+0250 and no run of this many letters or blanks.
-_SLOW = re.compile(r"[^\x00-ɏ]|\S{2000}|\s{2000}")
+SLOW_TEXT = re.compile(r"[^\x00-ɏ]|\S{2000}|\s{2000}")
 
 
 def version_digest(path: str) -> str:
@@ -80,7 +80,7 @@ def count_texts(texts: list[str], path: str, ranks: str | None = None) -> list[i
     )
     fast = _ranked(ranks, specials)
     return [
-        len(tokenizer.encode(t, add_special_tokens=False)) if _SLOW.search(t)
+        len(tokenizer.encode(t, add_special_tokens=False)) if SLOW_TEXT.search(t)
         else len(fast.encode(t, allowed_special="all"))
         for t in texts
     ]
