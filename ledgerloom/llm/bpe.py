@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import ahocorasick
@@ -29,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import slices, strings
+from ledgerloom.llm.common import release_memory, slices, strings
 
 END = "</w>"
-KEPT_PIECES = 250_000  # pieces, and words, in each half of what a task keeps
-KEPT_PAIRS = 1_000_000  # answers of the pair table a task keeps
+PIECE_BYTES, WORD_BYTES = 16 << 20, 8 << 20  # in each half of what a task keeps: 48 MB in all
+ENTRY_BYTES = 190  # what an entry of a table takes besides its letters
+PAIR_SLOTS = 1 << 18  # answers of the pair table that are kept, 8 bytes each
 # White space as the splitting pattern sees it.
 _BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 # Pieces whose normal form is their lower case, and the splitting pattern for them; others go
@@ -72,7 +75,7 @@ class Vocabulary:
             self.length[i] = len(signs)
         self.matcher.make_automaton()
         self.shorter = self._prefixes(size)
-        self.pairs: dict[int, bool] = {}
+        self.pairs = array("q", bytes(8 * PAIR_SLOTS))
 
     @staticmethod
     def _signs(token: str) -> str:
@@ -94,13 +97,13 @@ class Vocabulary:
         return shorter
 
     def compatible(self, a: int, b: int) -> bool:
-        pair = a << 32 | b
-        known = self.pairs.get(pair)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[pair] = self._border_stays(a, b)
-        return known
+        # One answer per slot: the pair, moved up by a place that tells the answer, and one more for "empty".
+        pair = (a << 31 | b) + 1
+        slot = (a * 40503 + b) % PAIR_SLOTS
+        kept = self.pairs[slot]
+        if kept >> 1 != pair:
+            kept = self.pairs[slot] = pair << 1 | self._border_stays(a, b)
+        return bool(kept & 1)
 
     def _border_stays(self, a: int, b: int) -> bool:
         """Whether no merge across the border comes before the merges that make ``a`` and ``b``.
@@ -158,10 +161,16 @@ class Vocabulary:
 
 
 class Recent:
-    """A bounded table that keeps what was asked for lately: two halves, the older one dropped."""
+    """A table bounded by bytes that keeps what was asked for lately: two halves, the older one dropped."""
 
     def __init__(self, half: int) -> None:
-        self.half, self.new, self.old = half, {}, {}
+        self.half = half
+        self.clear()
+
+    def clear(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def get(self, key: str) -> bytes | None:
         found = self.new.get(key)
@@ -172,9 +181,13 @@ class Recent:
         return found
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self.new) >= self.half:
-            self.old, self.new = self.new, {}
+        size = ENTRY_BYTES + len(key) + len(value)
+        if size > self.half:
+            return
+        if self.size + size > self.half:
+            self.old, self.new, self.size = self.new, {}, 0
         self.new[key] = value
+        self.size += size
 
 
 class Codec:
@@ -198,7 +211,7 @@ class Codec:
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
         self._letters = _byte_letters()
         self._ids = [np.array([i], "<u4").tobytes() for i in range(size)]
-        self._pieces, self._known = Recent(KEPT_PIECES), Recent(KEPT_PIECES)
+        self._pieces, self._known = Recent(PIECE_BYTES), Recent(WORD_BYTES)
         # Decoding joins token texts with a blank.
         texts = [b" "] * size
         for token, i in [*model["vocab"].items(), *specials.items()]:
@@ -218,6 +231,11 @@ class Codec:
         self._known.put(word, found)
         return found
 
+    def forget(self) -> None:
+        """Drop what was kept; workers outlive a task."""
+        self._pieces.clear()
+        self._known.clear()
+
     def _piece(self, piece: str) -> bytes:
         found = self._pieces.get(piece)
         if found is None:
@@ -252,13 +270,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@contextmanager
+def task_codec(path: str) -> Iterator[Codec]:
+    """The codec for one partition; what it kept of the texts goes when the partition ends."""
+    coder = codec(path)
+    try:
+        yield coder
+    finally:
+        coder.forget()
+        release_memory()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``ids`` of every text, four bytes per id."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
-        for part in parts:
-            for batch in slices(part, 512):
+        with task_codec(path) as coder:
+            for batch in (b for part in parts for b in slices(part, 512)):
                 ids = [coder.encode(t) for t in strings(batch, "text")]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
@@ -272,9 +300,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``ids`` turned back into ``text``, beside ``doc_id``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
-        for part in parts:
-            for batch in slices(part, 512):
+        with task_codec(path) as coder:
+            for batch in (b for part in parts for b in slices(part, 512)):
                 texts = [coder.decode(ids or b"") for ids in batch.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())],
@@ -289,9 +316,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Token count and the digests of the ids and of the text they decode to, in one pass."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
-        for part in parts:
-            for batch in slices(part, 512):
+        with task_codec(path) as coder:
+            for batch in (b for part in parts for b in slices(part, 512)):
                 n, coded, decoded = [], [], []
                 for text in strings(batch, "text"):
                     ids = coder.encode(text)

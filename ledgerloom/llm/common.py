@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,6 +75,12 @@ def batches(columns: dict[str, pa.DataType], rows: dict[str, list]) -> pa.Record
     )
 
 
+def release_memory() -> None:
+    """Give freed memory back at the end of a partition: workers are used again, by other stages too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import slices, stored
+from ledgerloom.llm.common import release_memory, slices, stored
 from ledgerloom.llm.components import components
 
 WORDS = 4
@@ -51,6 +51,7 @@ KNOWN_IDS = 1 << 20  # more candidate documents than this are joined, not broadc
 _ODD = [np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
     0xC4CEB9FE1A85EC53)]
+KEPT_WORDS = 60_000  # hashes of words a task keeps, some 160 bytes each
 _words: dict[bytes, bytes] = {}
 
 
@@ -64,12 +65,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _word_hash(word: bytes) -> bytes:
-    if len(_words) > 400_000:
+    if len(_words) >= KEPT_WORDS:
         _words.clear()
     found = _words[word] = xxhash.xxh3_64_digest(word)
     return found
 
 
+def _freed(task: Callable) -> Callable:
+    """``task`` over a partition; the words it kept go when the partition ends."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(parts)
+        finally:
+            _words.clear()
+            release_memory()
+
+    return run
+
+
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles."""
     known = _words.get
@@ -135,7 +148,7 @@ def _counted(words: int, ranges: int) -> Callable:
         if size:
             yield emit()
 
-    return count
+    return _freed(count)
 
 
 def _summed(least: int) -> Callable:
@@ -296,7 +309,7 @@ def _indexed(words: int, least: int, ranges: int, shared) -> Callable:
                     names=["doc_id", "n", "digest", "last", "head", "keys"],
                 )
 
-    return index
+    return _freed(index)
 
 
 # --- buckets and links --------------------------------------------------------------------
@@ -336,7 +349,7 @@ def _sets_of(words: int) -> Callable:
                     names=["doc_id", "h"],
                 )
 
-    return sets
+    return _freed(sets)
 
 
 def _possible(least: int) -> Callable:

@@ -417,3 +417,19 @@ def test_typed_parts(spark):
         ("s3://a.png", 425), ("b.wav", 51), ("d.pdf", 1800), (None, 255)]
     assert second["loss_start"] is None and second["attachments"] == []
     assert chatformat.read_piece(first["piece"])[0] == "assistant"
+
+
+def test_what_a_task_keeps_is_bounded_and_goes():
+    table = bpe.Recent(2_000)
+    for i in range(500):
+        table.put(str(i), b"x")
+        assert table.size <= 2_000
+    assert table.get("499") == b"x" and table.get("0") is None
+    table.put("long", b"y" * 5_000)
+    assert table.get("long") is None
+    coder = bpe.codec(WORDS)
+    with bpe.task_codec(WORDS) as same:
+        first = same.encode("some words that are kept")
+        assert same is coder and coder._pieces.new
+    assert not coder._pieces.new and not coder._known.new
+    assert coder.encode("some words that are kept") == first
