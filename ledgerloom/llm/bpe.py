@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.llm.common import release_memory, slices, strings
 
 END = "</w>"
-PIECE_BYTES, WORD_BYTES = 16 << 20, 8 << 20  # in each half of what a task keeps: 48 MB in all
+KEPT_PIECES = 250_000  # pieces, and words, in each half of what a task keeps
+PIECE_BYTES, WORD_BYTES = 16 << 20, 8 << 20  # their bounds by bytes: 48 MB in all
 ENTRY_BYTES = 190  # what an entry of a table takes besides its letters
 PAIR_SLOTS = 1 << 18  # answers of the pair table that are kept, 8 bytes each
 # White space as the splitting pattern sees it.
@@ -161,10 +162,11 @@ class Vocabulary:
 
 
 class Recent:
-    """A table bounded by bytes that keeps what was asked for lately: two halves, the older one dropped."""
+    """A table that keeps what was asked for lately: two halves, the older one dropped. A half is bounded by
+    entries and by bytes."""
 
-    def __init__(self, half: int) -> None:
-        self.half = half
+    def __init__(self, half: int, half_bytes: int = 1 << 30) -> None:
+        self.half, self.half_bytes = half, half_bytes
         self.clear()
 
     def clear(self) -> None:
@@ -182,9 +184,9 @@ class Recent:
 
     def put(self, key: str, value: bytes) -> None:
         size = ENTRY_BYTES + len(key) + len(value)
-        if size > self.half:
+        if size > self.half_bytes:
             return
-        if self.size + size > self.half:
+        if len(self.new) >= self.half or self.size + size > self.half_bytes:
             self.old, self.new, self.size = self.new, {}, 0
         self.new[key] = value
         self.size += size
@@ -211,7 +213,7 @@ class Codec:
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
         self._letters = _byte_letters()
         self._ids = [np.array([i], "<u4").tobytes() for i in range(size)]
-        self._pieces, self._known = Recent(PIECE_BYTES), Recent(WORD_BYTES)
+        self._pieces, self._known = Recent(KEPT_PIECES, PIECE_BYTES), Recent(KEPT_PIECES, WORD_BYTES)
         # Decoding joins token texts with a blank.
         texts = [b" "] * size
         for token, i in [*model["vocab"].items(), *specials.items()]:

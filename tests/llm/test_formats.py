@@ -420,7 +420,7 @@ def test_typed_parts(spark):
 
 
 def test_what_a_task_keeps_is_bounded_and_goes():
-    table = bpe.Recent(2_000)
+    table = bpe.Recent(250_000, 2_000)
     for i in range(500):
         table.put(str(i), b"x")
         assert table.size <= 2_000
