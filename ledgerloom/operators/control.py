@@ -1,18 +1,23 @@
 """Tenant decisions: classify, keep history, report transitions, raise alerts.
 
 The history looks sequential (this decision's replicas are the next one's
-baseline) but has a closed form. With a fixed spec and a start within bounds,
-replicas never fall: a snapshot either asks for a floor (the maximum, or the
-partition count while there is headroom) or keeps the baseline. So replicas are
-a running maximum of those floors, and the isolation latch is a running maximum
-of the snapshots that set it. Both are windows over a tenant's snapshots, one
-row per reconcile interval.
+baseline, and the spec may change between them) but has a closed form. Whatever
+spec is in force, a snapshot sets the replicas to one value if they are below a
+threshold and else leaves them: below the minimum to the minimum, below the
+partition count to the headroom target, below anything to the maximum. Such
+steps are closed under composition, so the replicas before each snapshot are a
+parallel prefix over pairs (``operators/prefix.py``), and the isolation latch
+compares the last place that set it with the last one that cleared it. A tenant
+is cut into segments of bounded length for both.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.operators.prefix import before_each, last_places, segmented, step_below
+from ledgerloom.session import cut_lineage
+
 # States and the other transition names, in reporting order.
 STABLE, SCALING, ISOLATED, DEGRADED = "Stable", "Scaling", "Isolated", "Degraded"
 POOL_CREATED = "DedicatedPoolCreated"
@@ -103,61 +108,88 @@ def classify_tenants(rows: DataFrame) -> DataFrame:
     )
 
 
+def specs_in_force(signals: DataFrame, specs: DataFrame) -> DataFrame:
+    """Every snapshot with the spec of its tenant that was in force at ``observed_at``.
+
+    A spec holds from its ``valid_from`` to the next one of the tenant; a null one, or no such column, means from the
+    beginning. Of several specs with one ``valid_from`` the greatest counts, by its columns in the order of their
+    names. Snapshots before the first spec are left out. ``first_*`` are what the first spec starts with.
+    """
+    if "valid_from" not in specs.columns:
+        specs = specs.withColumn("valid_from", F.lit(None).cast("timestamp"))
+    if "current_replicas" not in specs.columns:
+        specs = specs.withColumn("current_replicas", F.lit(0))
+    if "latched" not in specs.columns:
+        specs = specs.withColumn("latched", F.lit(False))
+    values = sorted(set(specs.columns) - {"tenant_id", "valid_from"})
+    along = Window.partitionBy("tenant_id").orderBy(F.col("valid_from").asc_nulls_first())
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # One row per change of a spec, a small table.
+    changes = (
+        specs.groupBy("tenant_id", "valid_from")
+        .agg(F.max(F.struct(*values)).alias("_spec"))
+        .withColumn("_until", F.lead("valid_from").over(along))
+        .withColumn("_first", F.first("_spec").over(whole))
+        .select(
+            "tenant_id", "valid_from", "_until", "_spec.*",
+            F.col("_first.current_replicas").alias("first_replicas"), F.col("_first.latched").alias("first_latched"),
+        )
+        .drop("latched")
+    )
+    at = F.col("observed_at")
+    in_force = (F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (
+        F.col("_until").isNull() | (at < F.col("_until"))
+    )
+    return signals.join(changes, "tenant_id").where(in_force).drop("valid_from", "_until")
+
+
+def _replica_step() -> Column:
+    """What a snapshot does to the replicas it finds, under its own spec."""
+    only_lag = _lag_high() & ~_latency_high()
+    minimum, partitions = F.col("min_replicas"), F.col("partition_count")
+    room = only_lag & (minimum < partitions)
+    return (
+        F.when(_lag_high() & _latency_high(), step_below(F.lit(2**62), F.col("max_replicas")))
+        .when(room, step_below(partitions, _headroom_target()))
+        .otherwise(step_below(minimum, minimum))
+    )
+
+
 def tenant_status_history(
     signals: DataFrame, specs: DataFrame, resets: DataFrame | None = None
 ) -> DataFrame:
     """Decision after every snapshot of ``signals``, replicas and latch carried forward.
 
-    ``specs`` may hold ``current_replicas`` and ``latched`` to start from.
-    ``resets(tenant_id, observed_at)`` are manual clearings of the latch, in
+    ``specs`` may change over time, see ``specs_in_force``, and may hold ``current_replicas`` and ``latched``
+    to start from. ``resets(tenant_id, observed_at)`` are manual clearings of the latch, in
     force from that snapshot on.
     """
-    specs = specs.withColumns(
-        {
-            "current_replicas": F.col("current_replicas")
-            if "current_replicas" in specs.columns
-            else F.lit(0),
-            "_latched0": F.col("latched") if "latched" in specs.columns else F.lit(False),
-        }
-    ).drop("latched")
-    rows = signals.join(specs, "tenant_id")
+    rows = specs_in_force(signals, specs)
     if resets is None:
-        rows = rows.withColumn("_reset", F.lit(0))
+        rows = rows.withColumn("_reset", F.lit(False))
     else:
-        marks = resets.select("tenant_id", "observed_at").distinct().withColumn("_reset", F.lit(1))
+        marks = resets.select("tenant_id", "observed_at").distinct().withColumn("_reset", F.lit(True))
         rows = rows.join(marks, ["tenant_id", "observed_at"], "left").withColumn(
-            "_reset", F.coalesce("_reset", F.lit(0))
+            "_reset", F.coalesce("_reset", F.lit(False))
         )
-    order = Window.partitionBy("tenant_id").orderBy("observed_at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-
+    keys = ["tenant_id"]
+    rows = rows.withColumn("_hour", F.date_trunc("hour", "observed_at")).withColumn("_step", _replica_step())
+    # Places, segments and the walk read the rows again.
+    rows = segmented(cut_lineage(rows), keys, "_hour", ["observed_at"]).drop("_hour")
+    rows = before_each(rows, keys, "_step", "first_replicas", "_before")
+    rows = rows.withColumn(
+        "baseline", baseline_replicas(F.col("_before"), F.col("min_replicas")).cast("int")
+    )
     only_lag = _lag_high() & ~_latency_high()
-    both = _lag_high() & _latency_high()
-    start = baseline_replicas(F.col("current_replicas"), F.col("min_replicas"))
-    # A start above the maximum stays until a snapshot first sets replicas, which brings the maximum.
-    above = start > F.col("max_replicas")
-    floor = F.when(both, F.col("max_replicas")).when(only_lag, _headroom_target())
-    sets_above = both | (only_lag & (start < F.col("partition_count")))
-    rows = rows.withColumns(
-        {
-            "_floor_before": F.max(floor).over(before),
-            "_set_before": F.coalesce(F.max(sets_above).over(before), F.lit(False)),
-        }
+    sets = only_lag & ~(F.col("baseline") < F.col("partition_count"))
+    rows = last_places(rows, keys, {"_set_at": (sets, False), "_reset_at": (F.col("_reset"), True)})
+    latched = F.when(F.col("_reset_at").isNull(), F.col("first_latched") | F.col("_set_at").isNotNull()).otherwise(
+        # A snapshot that clears the latch may set it again for the next one.
+        F.coalesce(F.col("_set_at") >= F.col("_reset_at"), F.lit(False))
     )
-    baseline = F.when(
-        above, F.when(F.col("_set_before"), F.col("max_replicas")).otherwise(start)
-    ).otherwise(F.greatest(start, F.coalesce("_floor_before", start)))
-    rows = rows.withColumn("baseline", baseline)
-    sets_latch = only_lag & ~(F.col("baseline") < F.col("partition_count"))
-    rows = rows.withColumns({"_epoch": F.sum("_reset").over(upto), "_sets": sets_latch})
-    in_epoch = Window.partitionBy("tenant_id", "_epoch").orderBy("observed_at")
-    earlier = in_epoch.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.when(F.col("_epoch") == 0, F.col("_latched0")).otherwise(F.lit(False))
-    latched = first | F.coalesce(F.max("_sets").over(earlier), F.lit(False))
-    decided = classify_tenants(rows.withColumn("latched", latched))
+    decided = classify_tenants(rows.withColumn("latched", F.coalesce(latched, F.lit(False))))
     return decided.withColumn("latched_after", F.col("latched") | F.col("sets_latch")).drop(
-        "_floor_before", "_set_before", "_epoch", "_sets", "_reset", "_latched0"
+        "_before", "_reset", "_set_at", "_reset_at", "_place", "_segment", "first_replicas", "first_latched"
     )
 
 

@@ -343,6 +343,22 @@ def tenant_status_history(spark, sf):
     )
 
 
+@query(
+    "tenant_status_history_specs",
+    f"""with recursive {S.CHANGING_HISTORY} select tenant_id, epoch_us(observed_at) as observed_at_us,
+      baseline, state, replicas, latched, latched_after from steps""",
+)
+def tenant_status_history_specs(spark, sf):
+    """Every tenant's spec changes half way, and the change is in the table more than once."""
+    rows = control.tenant_status_history(
+        V.signals(spark, sf), V.tenant_spec_history(spark, sf), V.resets(spark, sf)
+    )
+    return rows.select(
+        "tenant_id", _us("observed_at"), F.col("baseline").cast("bigint").alias("baseline"), "state",
+        F.col("replicas").cast("bigint").alias("replicas"), "latched", "latched_after",
+    )
+
+
 @query(
     "isolation_latch",
     f"""with recursive {S.HISTORY} select tenant_id, epoch_us(observed_at) as observed_at_us,

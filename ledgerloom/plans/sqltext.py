@@ -456,6 +456,25 @@ steps as (select * from history where rn > 0)
 """
 )
 
+# The same walk, with the spec in force on the day.
+CHANGING_HISTORY = HISTORY.replace(
+    "snaps as (",
+    """middle as (
+  select tenant_id, min(day) + to_days(cast(date_diff('day', min(day), max(day)) // 2 as integer)) as valid_from
+  from (select tenant_id, date_trunc('day', ts) as day from call_log) d group by tenant_id),
+spec_versions as (
+  select tenant_id, min_replicas, max_replicas, kafka_lag_threshold, p99_latency_threshold_ms,
+    timestamp '1900-01-01' as valid_from, valid_from as until from specs join middle using (tenant_id)
+  union all
+  select tenant_id, min_replicas + 2, max_replicas - 1, kafka_lag_threshold - 3, p99_latency_threshold_ms - 20,
+    valid_from, timestamp '2900-01-01' from specs join middle using (tenant_id)),
+snaps as (""",
+    1,
+).replace(
+    "join specs s on s.tenant_id = g.tenant_id",
+    "join spec_versions s on s.tenant_id = g.tenant_id and g.observed_at >= s.valid_from and g.observed_at < s.until",
+)
+
 TRANSITIONS = (
     HISTORY
     + """,

@@ -339,6 +339,26 @@ def tenant_spec(spark: SparkSession) -> DataFrame:
     )
 
 
+def tenant_spec_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specs that change on the middle day of each tenant's calls. The change comes twice, once more with lower limits."""
+    day = F.date_trunc("day", "ts")
+    middle = call_log(spark, sf_dir).groupBy("tenant_id").agg(
+        (F.min(day) + F.make_interval(days=F.expr("datediff(max(date_trunc('day', ts)), min(date_trunc('day', ts))) div 2")))
+        .alias("valid_from")
+    )
+    first = tenant_spec(spark).withColumn("valid_from", F.lit(None).cast("timestamp"))
+    changed = tenant_spec(spark).join(middle, "tenant_id").withColumns(
+        {
+            "min_replicas": F.col("min_replicas") + 2,
+            "max_replicas": F.col("max_replicas") - 1,
+            "kafka_lag_threshold": F.col("kafka_lag_threshold") - 3,
+            "p99_latency_threshold_ms": F.col("p99_latency_threshold_ms") - 20,
+        }
+    )
+    lower = changed.withColumn("kafka_lag_threshold", F.col("kafka_lag_threshold") - 10)
+    return first.unionByName(changed).unionByName(changed).unionByName(lower)
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per tenant and day: calls as lag, 99th percentile in ms, partitions with failures."""
     from ledgerloom.operators.telemetry import histogram_quantile, latency_histogram

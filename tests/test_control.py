@@ -1,9 +1,10 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import control, telemetry
+from ledgerloom.operators import control, prefix, telemetry
 from ledgerloom.schemas import SIGNALS
 
 CASES = [
@@ -85,6 +86,69 @@ def test_history_equals_a_sequential_walk(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("segment", [1024, 3])
+def test_history_under_changing_specs_equals_a_sequential_walk(spark, monkeypatch, segment):
+    monkeypatch.setattr(prefix, "SEGMENT", segment)
+    rng = random.Random(2)
+    start = datetime(2026, 1, 1)
+    signals, specs, resets, expected = [], [], [], {}
+    for t in range(30):
+        mine = [
+            (start + timedelta(minutes=m), rng.randrange(100), rng.randrange(100), rng.randrange(1, 16))
+            for m in range(25)
+        ]
+        cleared = {m[0] for m in mine if rng.random() < 0.1}
+        first = rng.choice([None, 4])  # a tenant without a spec at first
+        begins = [first] + sorted(rng.sample(range(6, 25), 3))
+        versions = []
+        for place, minute in enumerate(begins):
+            low = rng.randrange(1, 8)
+            current = (rng.choice([0, 5, 12]), rng.random() < 0.3)
+            spec = (low, low + rng.randrange(0, 8), rng.randrange(20, 80), rng.randrange(20, 80), *current)
+            at = None if minute is None else start + timedelta(minutes=minute)
+            versions.append((at, spec))
+            specs += [(f"t{t}", at, *spec)] * rng.choice([1, 2])
+            if rng.random() < 0.5:  # the same moment, smaller by current_replicas
+                specs.append((f"t{t}", at, *spec[:4], current[0] - 1, True))
+        signals += [(f"t{t}", *m[:3], m[3], 0) for m in mine]
+        resets += [(f"t{t}", at) for at in cleared]
+        replicas, latch, walked = *versions[0][1][4:], []
+        for row in mine:
+            spec = [s for at, s in versions if at is None or at <= row[0]]
+            if spec:
+                walked += _walk([row], (*spec[-1][:4], replicas, latch), cleared)
+                replicas, latch = walked[-1][3], walked[-1][4]
+        expected[f"t{t}"] = walked
+    history = control.tenant_status_history(
+        spark.createDataFrame(signals, SIGNALS),
+        spark.createDataFrame(
+            specs,
+            "tenant_id string, valid_from timestamp, min_replicas int, max_replicas int, kafka_lag_threshold bigint, "
+            "p99_latency_threshold_ms int, current_replicas int, latched boolean",
+        ),
+        spark.createDataFrame(resets, "tenant_id string, observed_at timestamp"),
+    )
+    got = {}
+    for r in history.orderBy("tenant_id", "observed_at").collect():
+        got.setdefault(r.tenant_id, []).append(
+            (r.observed_at, r.baseline, r.state, r.replicas, r.latched_after)
+        )
+    assert got == expected
+
+
+def test_a_key_of_too_many_rows_fails(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "SEGMENT", 2)
+    rows = spark.range(9).select(F.lit("k").alias("k"), F.lit(0).alias("cell"), "id", F.lit(5).alias("start")).withColumn(
+        "step", prefix.step_below(F.col("id"), F.col("id"))
+    )
+    placed = prefix.segmented(rows, ["k"], "cell", ["id"])
+    with pytest.raises(Exception, match="too many rows of one key"):
+        prefix.before_each(placed, ["k"], "step", "start", "found").collect()
+    few = prefix.segmented(rows.where("id < 8"), ["k"], "cell", ["id"])
+    found = prefix.before_each(few, ["k"], "step", "start", "found").orderBy("id").collect()
+    assert [r.found for r in found] == [5, 5, 5, 5, 5, 5, 5, 6]
+
+
 def test_transition_counts_are_preseeded(spark):
     empty = spark.createDataFrame([], "transition string")
     assert {r.transition: r.transitions for r in control.transition_counts(empty).collect()} == {
