@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.operators import dlq
 from ledgerloom.plans import sqltext as S, views as V
 from ledgerloom.plans.registry import query
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import tables, topic
-from ledgerloom.streaming import ledger as ledger_stream, telemetry, wac
+from ledgerloom.streaming import ledger as ledger_stream, reload, telemetry, wac
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -151,3 +151,85 @@ def telemetry_stream(spark, sf) -> DataFrame:
         F.unix_micros("window_start").alias("window_start_us"), "tenant_id", "outcome", "calls",
         "sum_us", "le_10000", "le_100000",
     )
+
+
+# --- partition maps read again --------------------------------------------------------------
+
+RELOADS = 4  # batches: before any map, then three versions of which the second is spoiled
+SPOILED = 2
+
+_RELOADED = f"""daily as (
+  select cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as bigint) as version,
+    concat('tenant-', cast(o_custkey % 5 as varchar)) as tenant_id, count(*) % 7 as size
+  from orders group by 1, 2),
+versions as (select version, min(size) as least_size, {RELOADS} - row_number() over (order by version desc) as batch
+  from daily group by version),
+polls as (
+  select b.batch, v.version as polled, v.version is not null and v.least_size >= 1 and b.batch <> {SPOILED} as good
+  from (select unnest(range({RELOADS})) as batch) b left join versions v on v.batch = b.batch and v.batch >= 1),
+in_force as (
+  select p.batch, p.polled, p.good, (select max(g.polled) from polls g where g.good and g.batch <= p.batch) as version
+  from polls p)"""
+
+
+def _reloaded(spark: SparkSession, sf: str) -> reload.Folders:
+    """Place trades in batches by their id; a new map is published before every batch but the first."""
+    folder = _run_folder(spark)
+    folders = reload.Folders(folder)
+    schema = "tenant_id string, instrument string, id bigint"
+    trades = V.trades(spark, sf).select("tenant_id", "instrument", "id")
+    newest = V.map_versions(spark, sf).orderBy(F.desc("version")).limit(RELOADS - 1)
+    turn = F.row_number().over(Window.orderBy("version"))
+    text = F.when(turn == SPOILED, F.regexp_replace("value", r"\}", "")).otherwise(F.col("value"))
+    # The few versions that this run publishes.
+    published = newest.select("version", text.alias("value"), turn.alias("batch")).collect()
+
+    def versions() -> DataFrame:
+        return spark.read.schema("version bigint, value string").parquet(f"{folder}/maps")
+
+    for n in range(RELOADS):
+        for row in published:
+            if row["batch"] == n:
+                one = spark.createDataFrame([(row["version"], row["value"])], "version bigint, value string")
+                one.coalesce(1).write.mode("append").parquet(f"{folder}/maps")
+        trades.where(F.col("id") % RELOADS == n).write.mode("append").parquet(f"{folder}/trades")
+        source = spark.readStream.schema(schema).parquet(f"{folder}/trades")
+        _finish(reload.start_placing(source, versions, folders, V.DEFAULT_PARTITIONS, V.TOTAL_PARTITIONS))
+    return folders
+
+
+@query(
+    "map_reload",
+    f"""with {S.TRADES}, {_RELOADED},
+    wanted as (
+      select f.batch, d.tenant_id, d.size, sum(d.size) over (partition by f.batch order by d.tenant_id) - d.size as start
+      from in_force f join daily d on d.version = f.version),
+    own as (
+      select batch, tenant_id, start, least(size, {V.TOTAL_PARTITIONS} - 1 - start) as size from wanted
+      where start < {V.TOTAL_PARTITIONS} - 1),
+    pool as (
+      select f.batch, f.version, coalesce(sum(o.size), 0) as taken from in_force f left join own o on o.batch = f.batch
+      group by 1, 2)
+    select p.batch, p.version, cast(case when o.start is not null then o.start + {S.fnv("t.instrument")} % o.size
+        else p.taken + {S.fnv("t.tenant_id")} % ({V.TOTAL_PARTITIONS} - p.taken) end as bigint) as "partition",
+      count(*) as trades
+    from trades t join pool p on p.batch = t.id % {RELOADS} left join own o on o.batch = p.batch and o.tenant_id = t.tenant_id
+    group by 1, 2, 3""",
+)
+def map_reload(spark, sf) -> DataFrame:
+    """Trades per batch and partition, placed by the map that was in force for the batch."""
+    folders = _reloaded(spark, sf)
+    placed = reload.read_placed(spark, folders, "tenant_id string, instrument string, id bigint, partition bigint")
+    polls = reload.read_polls(spark, folders).select("batch", "version")
+    return placed.groupBy("batch", "partition").agg(F.count("*").alias("trades")).join(polls, "batch").select(
+        "batch", "version", "partition", "trades"
+    )
+
+
+@query(
+    "map_reload_errors",
+    f"""with {_RELOADED} select batch, polled, version,
+      cast(sum(case when good then 0 else 1 end) over (order by batch) as bigint) as reload_errors from in_force""",
+)
+def map_reload_errors(spark, sf) -> DataFrame:
+    return reload.read_polls(spark, _reloaded(spark, sf)).select("batch", "polled", "version", "reload_errors")
