@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import bucketfold
 from ledgerloom.operators.longkeys import SEGMENT_ROWS, long_keys, with_segments
-from ledgerloom.operators.prefix import running_sum
+from ledgerloom.operators.prefix import ranked_cells, running_sum
 from ledgerloom.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(bucketfold)
@@ -28,12 +28,12 @@ def rate_limit_verdicts(
     rate: float | Fraction = REQUESTS_PER_SECOND,
     burst: int = BURST,
     segment_rows: int = SEGMENT_ROWS,
-    cell_us: int = 1_000_000,
+    cell_us: int | None = None,
 ) -> DataFrame:
     """Per call of ``key, ts_us, call_id``: would a token bucket per key have let it pass?
 
     A key's first call sees a full bucket. Very long keys are cut into segments
-    by time that are folded in parallel from an assumed entry; a segment whose
+    by rank, or by time in cells of ``cell_us``, that are folded in parallel from an assumed entry; a segment whose
     entry turns out different is folded again until all agree. Whatever fills
     the bucket inside a segment makes its exit independent of its entry, so few
     segments need a second fold; each round settles at least the next one.
@@ -54,9 +54,12 @@ def rate_limit_verdicts(
         .mapInArrow(decide, bucketfold.VERDICT_SCHEMA)
     )
     if any_long:
-        held = with_segments(
-            calls.join(long, "key", "left_semi"), ["key"], "ts_us", segment_rows, cell_us
-        ).select(*ORDER)
+        held = calls.join(long, "key", "left_semi")
+        if cell_us is None:
+            held = ranked_cells(held, ["key"], ["ts_us", "call_id"], segment_rows, "segment")
+        else:
+            held = with_segments(held, ["key"], "ts_us", segment_rows, cell_us)
+        held = held.select(*ORDER)
         work = cut_lineage(held.repartition(*SEGMENT).sortWithinPartitions(*ORDER))
         entries = _settle(work, units, refill, burst)
         verdicts = verdicts.unionByName(
@@ -131,17 +134,24 @@ def outage_intervals(samples: DataFrame) -> DataFrame:
 
 
 def failure_streaks(
-    calls: DataFrame, threshold: int, cell: Column, ignored: list[str] = EXPECTED_OUTCOMES
+    calls: DataFrame, threshold: int, cell: Column | None = None, ignored: list[str] = EXPECTED_OUTCOMES
 ) -> DataFrame:
     """Runs of at least ``threshold`` failures in a row per ``dependency``.
 
     Expected outcomes neither extend nor end a run. Failures between the same
     two successes share the running count of successes, taken cell by cell, so
-    a dependency with most of the calls is spread over its cells.
+    a dependency with most of the calls is spread over its cells. These are ranges of the calls by
+    rank, or what ``cell`` says.
     """
-    counted = calls.where(~F.col("outcome").isin(list(ignored))).withColumns(
-        {"_cell": cell, "_ok": (F.col("outcome") == "success").cast("bigint")}
+    counted = calls.where(~F.col("outcome").isin(list(ignored))).withColumn(
+        "_ok", (F.col("outcome") == "success").cast("bigint")
     )
+    if cell is None:
+        counted = ranked_cells(
+            counted.select("dependency", "ts", "call_id", "_ok"), ["dependency"], ["ts", "call_id"]
+        )
+    else:
+        counted = counted.withColumn("_cell", cell)
     runs = running_sum(counted, ["dependency"], "_cell", ["ts", "call_id"], "_ok", "_run")
     return (
         runs.where("_ok = 0")

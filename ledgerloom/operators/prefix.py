@@ -10,6 +10,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.session import cut_lineage
+
+
+CELL_ROWS = 1_000_000
+
+
+def ranked_cells(
+    rows: DataFrame, keys: list[str], order: list[str], cell_rows: int = CELL_ROWS, name: str = "_cell"
+) -> DataFrame:
+    """Add ``name``, a number that never decreases along ``keys`` and ``order``, with about ``cell_rows`` rows each.
+
+    Ranges of the whole order are the cells, so their size does not depend on how the values lie: a key
+    with most of the rows, or with all of them in one moment, is cut like any other. Ranges are drawn from a
+    sample; the result is written, so that every reader sees the same ones.
+    """
+    parts = max(1, -(-rows.count() // cell_rows))
+    ranged = rows.repartitionByRange(parts, *keys, *order)
+    return cut_lineage(ranged.withColumn(name, F.spark_partition_id().cast("bigint")))
+
 
 def running_sum(
     rows: DataFrame,

@@ -584,6 +584,24 @@ def rate_limit_segmented(spark, sf):
     )
 
 
+@query(
+    "rate_limit_one_second",
+    f"""with recursive {S.CALLS}, n as (select tenant_id as key, call_id, epoch_us(ts) % 1000 as t,
+      row_number() over (partition by tenant_id order by epoch_us(ts) % 1000, call_id) as rn from call_log),
+    walk as (select key, call_id, t, rn, cast(2000000 as bigint) as tokens, true as allowed from n where rn = 1
+      union all
+      select key, call_id, t, rn, case when filled >= 1000000 then filled - 1000000 else filled end,
+        filled >= 1000000
+      from (select n.*, least(3000000, w.tokens + 20000 * (n.t - w.t)) as filled
+        from walk w join n on n.key = w.key and n.rn = w.rn + 1) x)
+    select key, call_id, t as ts_us, allowed from walk""",
+)
+def rate_limit_one_second(spark, sf):
+    """All calls of a tenant in one millisecond, in segments by rank: twenty thousand calls a second, bursts of three."""
+    calls = _limited_calls(spark, sf).withColumn("ts_us", F.col("ts_us") % 1000)
+    return limits.rate_limit_verdicts(calls, 20_000, 3, segment_rows=200)
+
+
 @query(
     "outage_intervals",
     f"""with {S.BREAKERS}, starts as (select *, case when state is distinct from
@@ -611,7 +629,5 @@ def outage_intervals(spark, sf):
       count(*) as failures from counted where outcome = 'failure' group by dependency, run having count(*) >= 3""",
 )
 def failure_streaks(spark, sf):
-    rows = limits.failure_streaks(
-        V.dependency_calls(spark, sf), 3, F.date_trunc("hour", F.col("ts"))
-    )
+    rows = limits.failure_streaks(V.dependency_calls(spark, sf), 3)
     return rows.select("dependency", _us("started_at"), _us("last_failure_at"), "failures")

@@ -5,7 +5,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import dedupe, limits, placement
+from ledgerloom.operators import dedupe, limits, placement, prefix
 
 S = 1_000_000
 
@@ -49,7 +49,30 @@ def test_bucket_segments_equal_one_walk(spark):
         assert [r.allowed for r in got] == expected
 
 
-def test_failure_streaks_against_brute_force(spark):
+@pytest.mark.parametrize("spread", [1, 40])
+def test_calls_of_one_moment_are_cut_by_rank(spark, spread):
+    rng = random.Random(7)
+    times = sorted(rng.randrange(spread) for _ in range(700))
+    rows = spark.createDataFrame([("k", t, i) for i, t in enumerate(times)], "key string, ts_us bigint, call_id bigint")
+    expected = _bucket(times, Fraction(50_000), 4)
+    got = limits.rate_limit_verdicts(rows, 50_000, 4, segment_rows=60).orderBy("call_id").collect()
+    assert [r.allowed for r in got] == expected
+
+
+def test_ranked_cells_hold_few_rows_whatever_the_clock(spark):
+    rows = spark.range(6_000).select(F.lit("hot").alias("k"), F.lit(5).alias("t"), "id").union(
+        spark.range(500).select(F.concat(F.lit("k"), F.col("id") % 7), F.col("id").cast("int"), "id")
+    )
+    cells = prefix.ranked_cells(rows, ["k"], ["t", "id"], 500)
+    sizes = [r["count"] for r in cells.groupBy("_cell").count().collect()]
+    assert sum(sizes) == 6_500 and max(sizes) < 1_500
+    summed = prefix.running_sum(cells.withColumn("one", F.lit(1)), ["k"], "_cell", ["t", "id"], "one", "place")
+    hot = [r.place for r in summed.where("k = 'hot'").orderBy("id").collect()]
+    assert hot == list(range(1, 6_001))
+
+
+@pytest.mark.parametrize("by_rank", [False, True])
+def test_failure_streaks_against_brute_force(spark, by_rank):
     rng = random.Random(4)
     at = datetime(2026, 1, 1)
     rows = [
@@ -59,7 +82,7 @@ def test_failure_streaks_against_brute_force(spark):
     ]
     df = spark.createDataFrame(rows, "dependency string, ts timestamp, call_id bigint, outcome string")
     got = {(r.dependency, r.started_at, r.failures)
-           for r in limits.failure_streaks(df, 3, F.date_trunc("hour", F.col("ts"))).collect()}
+           for r in limits.failure_streaks(df, 3, None if by_rank else F.date_trunc("hour", F.col("ts"))).collect()}
     expected = set()
     for d in ("d0", "d1"):
         run = []
