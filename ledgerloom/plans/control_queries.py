@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.operators import control, limits, telemetry
 from ledgerloom.plans import sqltext as S, views as V
+from ledgerloom.session import scratch_folder
 from ledgerloom.plans.registry import ORACLES, query
 from ledgerloom.sources import samples as metric_source
 
@@ -138,8 +139,10 @@ def consumers_panel(spark, sf):
 )
 def read_metric_samples(spark, sf):
     """One metric out of the long sample table, its labels as columns."""
+    folder = scratch_folder(spark, "samples") + "/rows"
+    V.metric_samples(spark, sf).write.parquet(folder)
     series = metric_source.series_of(
-        V.metric_samples(spark, sf), "processor_transaction_duration_seconds_bucket",
+        metric_source.read_metric_samples(spark, folder), "processor_transaction_duration_seconds_bucket",
         {"tenant_id": "tenant", "outcome": "outcome", "le": "le"},
     )
     return series.where("le = 'Infinity'").groupBy("tenant_id", "outcome").agg(

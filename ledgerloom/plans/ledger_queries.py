@@ -8,7 +8,8 @@ from ledgerloom.functions.text import partition_key
 from ledgerloom.operators import dedupe, dlq, placement, validate, wac
 from ledgerloom.plans import sqltext as S, views as V
 from ledgerloom.plans.registry import query
-from ledgerloom.sources import tables, topic
+from ledgerloom.session import scratch_folder
+from ledgerloom.sources import letters, tables, topic
 
 STATE = ["tenant_id", "instrument", "position", "average_cost", "realized_pnl", "last_transaction_id"]
 
@@ -467,6 +468,9 @@ def rescale_amounts_down(spark, sf):
     )
 
 
+SEPARATOR = "\x1e"
+
+
 @query(
     "read_rest_events",
     f"""with {S.TRADES} select case when id % 97 in (1, 10) then 'invalid request body'
@@ -474,7 +478,10 @@ def rescale_amounts_down(spark, sf):
       count(*) as bodies from trades group by 1""",
 )
 def read_rest_events(spark, sf):
-    rows = validate.validate_rest(V.rest_json(spark, sf))
+    """Bodies written to files, a record separator between two of them, and read back."""
+    folder = scratch_folder(spark, "bodies") + "/text"
+    V.rest_json(spark, sf).select("value").write.option("lineSep", SEPARATOR).text(folder)
+    rows = validate.validate_rest(topic.read_rest_events(spark, folder, separator=SEPARATOR))
     verdict = F.when(F.col("error").startswith("invalid request body"), F.col("error"))
     return rows.groupBy(F.coalesce(verdict, F.lit("readable")).alias("verdict")).agg(
         F.count("*").alias("bodies")
@@ -489,7 +496,10 @@ def read_rest_events(spark, sf):
     from checked where error is null""",
 )
 def read_typed_events(spark, sf):
-    accepted, _ = validate.split_valid(validate.validate_typed(V.typed_events(spark, sf)))
+    folder = scratch_folder(spark, "typed-events") + "/rows"
+    V.typed_events(spark, sf).write.parquet(folder)
+    rows = topic.read_typed_events(spark, folder, extra="id bigint")
+    accepted, _ = validate.split_valid(validate.validate_typed(rows))
     return accepted.select(
         "id", "event_id", "tenant_id", "instrument", "side", "quantity", "price", "currency",
         _micros("occurred_at"), F.col("schema_version").cast("bigint").alias("schema_version"),
@@ -622,8 +632,10 @@ def dlq_envelope(spark, sf):
 
 @query("write_dlq", _letter_sql("true"))
 def write_dlq(spark, sf):
-    """Dead letters as topic records under their key, read back."""
-    return _letter_columns(dlq.decode_dlq(dlq.encode_dlq(_letters(spark, sf))))
+    """Dead letters written as records under their key, and read back."""
+    folder = scratch_folder(spark, "letters")
+    letters.write_letter_files(_letters(spark, sf), folder)
+    return _letter_columns(letters.read_letter_files(spark, folder))
 
 
 @query(

@@ -32,6 +32,21 @@ def bounded_poll(max_records: int = 0, max_files: int = 0) -> dict[str, str]:
     return options
 
 
+def topic_options(
+    brokers: str, topic: str, group: str | None = None, max_records: int = 0, start: str = "earliest",
+    partitions: list[int] | None = None,
+) -> dict[str, str]:
+    """Options of the source: the whole topic, or the listed partitions only."""
+    options = {"kafka.bootstrap.servers": brokers, "startingOffsets": start, **bounded_poll(max_records=max_records)}
+    if partitions is None:
+        options["subscribe"] = topic
+    else:
+        options["assign"] = "{" + f'"{topic}":[{",".join(map(str, partitions))}]' + "}"
+    if group:
+        options["kafka.group.id"] = group
+    return options
+
+
 def read_trade_topic(
     spark: SparkSession, brokers: str, topic: str, group: str | None = None, max_records: int = 0,
     start: str = "earliest",
@@ -40,16 +55,8 @@ def read_trade_topic(
 
     A first start reads what the topic already holds.
     """
-    reader = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", brokers)
-        .option("subscribe", topic)
-        .option("startingOffsets", start)
-        .options(**bounded_poll(max_records=max_records))
-    )
-    if group:
-        reader = reader.option("kafka.group.id", group)
-    return _from_kafka(reader)
+    options = topic_options(brokers, topic, group, max_records, start)
+    return _from_kafka(spark.readStream.format("kafka").options(**options))
 
 
 def read_trade_files(
@@ -77,14 +84,8 @@ def read_topic_partitions(
     spark: SparkSession, brokers: str, topic: str, partitions: list[int], max_records: int = 0
 ) -> DataFrame:
     """Stream of the listed partitions only, each from its start."""
-    assigned = "{" + f'"{topic}":[{",".join(map(str, partitions))}]' + "}"
-    return _from_kafka(
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", brokers)
-        .option("assign", assigned)
-        .option("startingOffsets", "earliest")
-        .options(**bounded_poll(max_records=max_records))
-    )
+    options = topic_options(brokers, topic, max_records=max_records, partitions=partitions)
+    return _from_kafka(spark.readStream.format("kafka").options(**options))
 
 
 def read_partitions(records: DataFrame, partitions: list[int]) -> DataFrame:
@@ -105,10 +106,12 @@ def read_rest_events(
     return reader.text(path, lineSep=separator)
 
 
-def read_typed_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Typed event rows: amounts already scaled, side as a code."""
+def read_typed_events(
+    spark: SparkSession, path: str, streaming: bool = False, extra: str | None = None
+) -> DataFrame:
+    """Typed event rows: amounts already scaled, side as a code; ``extra`` names columns that come with them."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(TYPED_EVENT).parquet(path)
+    return reader.schema(f"{TYPED_EVENT}, {extra}" if extra else TYPED_EVENT).parquet(path)
 
 
 def encode_wire_event(trades: DataFrame) -> DataFrame:

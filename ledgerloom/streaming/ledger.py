@@ -7,6 +7,7 @@ held, so nothing is applied twice and nothing is lost.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators import dlq, validate, wac
+from ledgerloom.schemas import DLQ
 from ledgerloom.sources import tables
 
 # Every so many batches the state is written whole, and older changes are not read again.
@@ -65,9 +67,13 @@ def next_id(spark: SparkSession, folders: Folders, batch_id: int) -> int:
 
 
 def apply_batch(
-    batch: DataFrame, batch_id: int, folders: Folders, segment_rows: int = wac.SEGMENT_ROWS
+    batch: DataFrame, batch_id: int, folders: Folders, segment_rows: int = wac.SEGMENT_ROWS,
+    letter_sink: Callable[[DataFrame, int], None] | None = None,
 ) -> None:
-    """Decode, check, append, fold and dead-letter one micro-batch."""
+    """Decode, check, append, fold and dead-letter one micro-batch.
+
+    ``letter_sink`` is handed the letters as they were stored, and the batch id; a replayed batch hands them over again.
+    """
     spark = batch.sparkSession
     now = F.current_timestamp()
     decoded = validate.ledger_checks(validate.decode_wire(batch)).persist(
@@ -109,16 +115,21 @@ def apply_batch(
                 dlq.route_reconcile_failures(appended.join(refused, "id"), now)
             )
         tables.write_batch(letters, folders.letters, batch_id)
+        if letter_sink is not None:
+            letter_sink(spark.read.schema(DLQ).parquet(f"{folders.letters}/batch={batch_id}"), batch_id)
     finally:
         decoded.unpersist()
 
 
 def start_ledger_stream(
-    records: DataFrame, folders: Folders, trigger: dict | None = None
+    records: DataFrame, folders: Folders, trigger: dict | None = None,
+    letter_sink: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Run ``apply_batch`` over a stream of topic records."""
     return (
-        records.writeStream.foreachBatch(lambda batch, n: apply_batch(batch, n, folders))
+        records.writeStream.foreachBatch(
+            lambda batch, n: apply_batch(batch, n, folders, letter_sink=letter_sink)
+        )
         .option("checkpointLocation", folders.checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
