@@ -25,6 +25,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.llm.common import free_name
+
 SPAN = 12
 GROUPS = 4
 SUBSTITUTED = 2
@@ -155,5 +157,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no item; columns as they came."""
-    marked = overlaps(docs, benchmark).select(F.col("doc_id").alias("__llm_doc")).distinct()
-    return docs.join(marked, F.col("doc_id").eqNullSafe(F.col("__llm_doc")), "left_anti")
+    name = free_name(docs, "_marked")
+    marked = overlaps(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(marked, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

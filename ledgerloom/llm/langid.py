@@ -198,7 +198,7 @@ def known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
 
     A document goes if it has no letter, or if no language reaches the score ``least``.
     """
-    scored = identify(docs, train(docs), keep=docs.columns)
-    return scored.where((F.col("__llm_lang") != UNDETERMINED) & (F.col("__llm_score") >= least)).select(
-        *docs.columns
-    )
+    # Packed, so that no column of theirs can be called as one of ours.
+    packed = docs.select("text", F.struct("*").alias("row"))
+    scored = identify(packed, train(docs), keep=["row"])
+    return scored.where((F.col("__llm_lang") != UNDETERMINED) & (F.col("__llm_score") >= least)).select("row.*")

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import release_memory, slices, stored
+from ledgerloom.llm.common import free_name, release_memory, slices, stored
 from ledgerloom.llm.components import components
 
 WORDS = 4
@@ -524,10 +524,11 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Data
 
     Rows that share a doc_id stay or go together; rows with a null doc_id stay.
     """
+    name = free_name(docs, "_gone")
     gone = (
         ngram_components(docs, words, least)
         .where("component_id <> doc_id")
-        .select(F.col("doc_id").alias("__llm_doc"))
+        .select(F.col("doc_id").alias(name))
         .distinct()
     )
-    return docs.join(gone, F.col("doc_id") == F.col("__llm_doc"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -261,5 +261,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below one half; columns as they came."""
-    scored = classify(docs, train(docs, labels), keep=docs.columns)
-    return scored.where(F.col("__llm_toxicity") < 0.5).select(*docs.columns)
+    # Packed, so that no column of theirs can be called as one of ours.
+    packed = docs.select("text", F.struct("*").alias("row"))
+    scored = classify(packed, train(docs, labels), keep=["row"])
+    return scored.where(F.col("__llm_toxicity") < 0.5).select("row.*")
