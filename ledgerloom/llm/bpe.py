@@ -35,9 +35,9 @@ from ledgerloom.llm.common import release_memory, slices, strings
 
 END = "</w>"
 KEPT_PIECES = 250_000  # pieces, and words, in each half of what a task keeps
-PIECE_BYTES, WORD_BYTES = 16 << 20, 8 << 20  # their bounds by bytes: 48 MB in all
+PIECE_BYTES, WORD_BYTES = 48 << 20, 24 << 20  # their bounds by bytes: 144 MB in all
 ENTRY_BYTES = 190  # what an entry of a table takes besides its letters
-PAIR_SLOTS = 1 << 18  # answers of the pair table that are kept, 8 bytes each
+PAIR_SLOTS = 1 << 20  # answers of the pair table that are kept, 8 bytes each
 # White space as the splitting pattern sees it.
 _BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 # Pieces whose normal form is their lower case, and the splitting pattern for them; others go
