@@ -20,23 +20,29 @@ KEY_FIELDS = "tenant_id string, instrument string, segment bigint"
 STATE_SCHEMA = (
     f"{KEY_FIELDS}, position bigint, average_cost bigint, realized_pnl decimal(38,0), "
     "last_transaction_id bigint, episode bigint, low_pnl decimal(38,0), high_pnl decimal(38,0), "
-    "rejected bigint"
+    "rejected bigint, beyond bigint"
 )
 TRACE_SCHEMA = (
     f"{KEY_FIELDS}, id bigint, position bigint, average_cost bigint, realized bigint, "
     "realized_pnl bigint, opened bigint, closed boolean, episode bigint, problem string"
 )
-BRACKET_SCHEMA = f"{KEY_FIELDS}, exit_low bigint, exit_high bigint"
+BRACKET_SCHEMA = f"{KEY_FIELDS}, moved decimal(38,0), exit_low bigint, exit_high bigint, torn bigint"
 
 _STATE_TYPES = [
     pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0),
-    pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.decimal128(38, 0), pa.int64(),
+    pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.decimal128(38, 0), pa.int64(), pa.int64(),
 ]
 _TRACE_TYPES = [
     pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
     pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(),
 ]
-_BRACKET_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+_BRACKET_TYPES = [
+    pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.int64(), pa.int64(), pa.int64(),
+]
+
+# Failure texts are fixed values: readers of dead letters match them.
+UNKNOWN_SIDE = "unknown transaction side"
+PNL_SUM = "compute realized pnl: sum out of range"
 
 
 def _names(schema: str) -> list[str]:
@@ -58,7 +64,7 @@ def apply_trade(position: int, cost: int, pnl: int, quantity: int | None, price:
     A trade whose result leaves the 64-bit range changes nothing and names why.
     """
     if quantity is None:
-        return position, cost, 0, "unknown transaction side"
+        return position, cost, 0, UNKNOWN_SIDE
     if position == 0 or (position > 0) == (quantity > 0):
         held = _cut(position * cost)
         if not LOW <= held <= HIGH:
@@ -83,7 +89,7 @@ def apply_trade(position: int, cost: int, pnl: int, quantity: int | None, price:
     if not (LOW <= per_unit <= HIGH and LOW <= realized <= HIGH):
         return position, cost, 0, "compute realized pnl: product out of range"
     if not LOW <= pnl + realized <= HIGH:
-        return position, cost, 0, "compute realized pnl: sum out of range"
+        return position, cost, 0, PNL_SUM
     left = position + quantity
     if left == 0:
         cost = 0
@@ -118,10 +124,14 @@ def _entry(batch: pa.RecordBatch, at: int) -> tuple[int, int, int, int | None, i
 
 
 def fold_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per (key, segment): the state after its last trade."""
+    """One row per (key, segment): the state after its last trade.
+
+    ``rejected`` counts the trades that could not be applied, ``beyond`` those of them that
+    the sum of realized P&L kept out.
+    """
     key = None
     out: list[tuple] = []
-    position = cost = pnl = episode = low = high = rejected = 0
+    position = cost = pnl = episode = low = high = rejected = beyond = 0
     last = None
     for batch in batches:
         if batch.num_rows == 0:
@@ -134,17 +144,18 @@ def fold_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = tuple(batch.column(c)[a].as_py() for c in ("tenant_id", "instrument", "segment"))
             if run != key:
                 if key is not None:
-                    out.append((*key, position, cost, pnl, last, episode, low, high, rejected))
+                    out.append((*key, position, cost, pnl, last, episode, low, high, rejected, beyond))
                 key = run
                 position, cost, pnl, last, episode = _entry(batch, a)
                 low = high = pnl
-                rejected = 0
+                rejected = beyond = 0
             for i in range(a, b):
                 after, cost, realized, problem = apply_trade(
                     position, cost, pnl, quantities[i], prices[i]
                 )
                 if problem is not None:
                     rejected += 1
+                    beyond += problem == PNL_SUM
                     continue
                 if realized:
                     pnl += realized
@@ -160,7 +171,7 @@ def fold_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _record_batch(out, STATE_SCHEMA, _STATE_TYPES)
             out = []
     if key is not None:
-        out.append((*key, position, cost, pnl, last, episode, low, high, rejected))
+        out.append((*key, position, cost, pnl, last, episode, low, high, rejected, beyond))
     if out:
         yield _record_batch(out, STATE_SCHEMA, _STATE_TYPES)
 
@@ -202,16 +213,37 @@ def fold_trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record_batch(out, TRACE_SCHEMA, _TRACE_TYPES)
 
 
+def _apply_bracket(position: int, low: int, high: int, quantity: int | None, price: int):
+    """``(position, low, high, torn)`` after one trade, whatever the P&L.
+
+    The step is monotone in the cost and the costs it accepts are an interval, so the two
+    ends stand for all costs between. Where they disagree the result is ``torn``: a guess
+    that takes the trade as applied if either end applies it.
+    """
+    after, new_low, _, problem = apply_trade(position, low, 0, quantity, price)
+    if low == high:
+        return after, new_low, new_low, False
+    other, new_high, _, other_problem = apply_trade(position, high, 0, quantity, price)
+    if problem is None and other_problem is None:
+        return after, new_low, new_high, False
+    if problem is None:
+        return after, new_low, new_low, True
+    if other_problem is None:
+        return other, new_high, new_high, True
+    # A closing trade can fail by gain at one end and by loss at the other, and apply between.
+    closes = quantity is not None and position != 0 and (position > 0) != (quantity > 0)
+    return position, low, high, closes and (price > low) != (price > high)
+
+
 def fold_brackets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lowest and highest average cost a segment can end with.
+    """What a segment moves, and the lowest and highest average cost it can end with.
 
-    The step is monotone in the average cost, so folding the lowest and the
-    highest possible entry brackets every entry between them. The caller has
-    checked that no trade of the segment can leave the 64-bit range.
+    ``torn`` counts the trades whose verdict depends on where in the bracket the segment
+    starts; with any, the row is a guess.
     """
     key = None
     out: list[tuple] = []
-    position = low = high = 0
+    start = position = low = high = torn = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -222,26 +254,18 @@ def fold_brackets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             run = tuple(batch.column(c)[a].as_py() for c in ("tenant_id", "instrument", "segment"))
             if run != key:
                 if key is not None:
-                    out.append((*key, low, high))
+                    out.append((*key, position - start, low, high, torn))
                 key = run
                 position, low, high = (
                     batch.column(c)[a].as_py() for c in ("entry_position", "entry_low", "entry_high")
                 )
+                start, torn = position, 0
             for i in range(a, b):
-                quantity, price = quantities[i], prices[i]
-                after = position + quantity
-                if position == 0 or (position > 0) == (quantity > 0):
-                    held, size = abs(position), abs(after)
-                    added = abs(quantity) * price // SCALE
-                    same = low == high
-                    low = (held * low // SCALE + added) * SCALE // size
-                    high = low if same else (held * high // SCALE + added) * SCALE // size
-                elif after == 0:
-                    low = high = 0
-                elif (after > 0) != (position > 0):
-                    low = high = price
-                position = after
+                position, low, high, doubt = _apply_bracket(
+                    position, low, high, quantities[i], prices[i]
+                )
+                torn += doubt
     if key is not None:
-        out.append((*key, low, high))
+        out.append((*key, position - start, low, high, torn))
     if out:
         yield _record_batch(out, BRACKET_SCHEMA, _BRACKET_TYPES)

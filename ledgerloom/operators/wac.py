@@ -9,11 +9,19 @@ Trades are folded in ledger-id order. Two physical forms, same result:
   in the cost, so every segment is folded from the lowest and the highest cost
   it could start with; averaging pulls the two together, and each round hands
   the narrower exits to the next segment until every entry is one number.
-  A round settles at least the next segment of every key, so it always ends;
-  usually the brackets meet within a round or two.
 
-A long key whose products or P&L might leave the 64-bit range is folded segment
-after segment instead, where a trade that cannot be applied is skipped exactly.
+A trade that cannot be applied is skipped within its segment. If both ends of
+the bracket refuse it, so does every cost between; if they disagree, the
+segment's result is a guess and it is folded again from a narrower entry. What
+refused trades would have moved is taken out of the running sums, and segments
+whose entry position that changes are folded again. All entries are guesses
+until a whole chain is consistent: every segment folded from what the one before
+ends with. A round makes at least one more segment of every key final, so it
+always ends; as a rule, it takes two or three rounds whatever the number of
+segments.
+
+Only long keys with a price that is not positive, or whose P&L leaves the 64-bit
+range, are folded segment after segment.
 """
 
 from __future__ import annotations
@@ -80,21 +88,18 @@ def _fold_long(rows: DataFrame, initial: DataFrame | None, segment_rows: int, fu
 
 
 def _profile(work: DataFrame, initial: DataFrame | None) -> DataFrame:
-    """Per segment: entry position, bracket of the entry cost, and whether the key is safe."""
-    so_far = F.sum(F.col("quantity").cast("decimal(38,0)")).over(
-        Window.partitionBy(*SEGMENT).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    segments = (
-        work.withColumn("_run", so_far)
-        .groupBy(*SEGMENT)
-        .agg(
-            F.sum(F.col("quantity").cast("decimal(38,0)")).alias("moved"),
-            F.min("_run").alias("lowest"),
-            F.max("_run").alias("highest"),
-            F.min("price").alias("cheapest"),
-            F.max("price").alias("dearest"),
-            F.count(F.when(F.col("quantity").isNull(), 1)).alias("unknown"),
-        )
+    """Per segment: first guesses of its entry position and of the bracket of its entry cost.
+
+    The guess leaves out trades whose own value is beyond 64 bits: unless they close a
+    position, they are refused whatever the entry.
+    """
+    size = F.abs(F.col("quantity").cast("decimal(19,0)"))
+    fits = F.coalesce(size * F.col("price").cast("decimal(19,0)") < _wide(2**63 * SCALE), F.lit(True))
+    wide0 = _wide(0)
+    segments = work.groupBy(*SEGMENT).agg(
+        F.coalesce(F.sum(F.when(fits, F.col("quantity").cast("decimal(38,0)"))), wide0).alias("moved"),
+        F.min("price").alias("cheapest"),
+        F.coalesce(F.max(F.when(fits, F.col("price"))), _zero()).alias("dearest"),
     )
     if initial is None:
         segments = segments.select(
@@ -106,89 +111,81 @@ def _profile(work: DataFrame, initial: DataFrame | None) -> DataFrame:
         segments = segments.join(initial, KEY, "left")
     order = Window.partitionBy(*KEY).orderBy("segment")
     whole = Window.partitionBy(*KEY)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    wide0 = _wide(0)
-    start = F.coalesce(F.col("entry_position").cast("decimal(38,0)"), wide0)
-    segments = segments.withColumn("at", start + F.coalesce(F.sum("moved").over(before), wide0))
-    reach = F.greatest(
-        F.abs(F.col("at")), F.abs(F.col("at") + F.col("lowest")),
-        F.abs(F.col("at") + F.col("highest")),
-    )
     first_cost = F.coalesce(F.col("entry_cost"), _zero())
     segments = segments.withColumns(
         {
-            "reach": F.max(reach).over(whole),
+            "start": F.coalesce(F.col("entry_position").cast("decimal(38,0)"), wide0),
             "top": F.greatest(F.max("dearest").over(whole), first_cost),
-            "bottom": F.min("cheapest").over(whole),
-            "strangers": F.sum("unknown").over(whole),
+            "tame": F.coalesce((F.min("cheapest").over(whole) > 0) & (first_cost >= 0), F.lit(False)),
         }
-    )
-    safe = (
-        (F.col("reach") < _wide(2**63))
-        & (F.col("bottom") > 0)
-        & (first_cost >= 0)
-        & (F.col("strangers") == 0)
-        & F.coalesce(
-            F.try_multiply(F.col("reach"), F.col("top").cast("decimal(19,0)")) < _wide(2**63 * SCALE),
-            F.lit(False),
-        )
-    )
+    ).withColumn("at", _moved_before(order))
     is_first = F.row_number().over(order) == 1
     flat = F.col("at") == 0
     return segments.withColumns(
         {
-            "safe": F.coalesce(safe, F.lit(False)),
             "entry_low": F.when(is_first, first_cost).otherwise(_zero()),
             "entry_high": F.when(is_first, first_cost).when(flat, _zero()).otherwise(F.col("top")),
         }
-    ).select(*SEGMENT, *ENTRY, "at", "safe", "entry_low", "entry_high")
+    ).select(*SEGMENT, *ENTRY, "start", "at", "tame", "entry_low", "entry_high")
+
+
+def _moved_before(order) -> Column:
+    """Entry position: where the key starts and what its earlier segments move."""
+    before = F.sum("moved").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return F.col("start") + F.coalesce(before, _wide(0))
 
 
-def _bracket(work: DataFrame, chain: DataFrame) -> DataFrame:
-    """Narrow every entry bracket of ``chain`` until it is one number."""
+def _in_range(position: Column) -> Column:
+    """A guess may lie beyond 64 bits; the final position never does."""
+    return F.greatest(F.least(position, _wide(2**63 - 1)), _wide(-(2**63))).cast("bigint")
+
+
+FOLDED = ["folded_at", "folded_low", "folded_high"]
+FOUND = ["moved", "exit_low", "exit_high", "torn"]
+
+
+def _settle(work: DataFrame, chain: DataFrame) -> DataFrame:
+    """Fold the segments of ``chain`` until each starts from what the one before ends with."""
     order = Window.partitionBy(*KEY).orderBy("segment")
-    todo = chain
+    entry = ["at", "entry_low", "entry_high"]
+    todo, first_round = chain, True
     while True:
         entries = todo.select(
-            *SEGMENT, F.col("at").cast("bigint").alias("entry_position"), "entry_low", "entry_high"
+            *SEGMENT, _in_range(F.col("at")).alias("entry_position"), "entry_low", "entry_high"
         )
         exits = _run(
             work.join(entries, SEGMENT).sortWithinPartitions(*SEGMENT, "id"),
             wacfold.fold_brackets,
             wacfold.BRACKET_SCHEMA,
         )
-        if "exit_low" in chain.columns:
-            renamed = exits.withColumnsRenamed({"exit_low": "_low", "exit_high": "_high"})
-            chain = chain.join(renamed, SEGMENT, "left").withColumns(
-                {
-                    "exit_low": F.coalesce("_low", "exit_low"),
-                    "exit_high": F.coalesce("_high", "exit_high"),
-                }
-            ).drop("_low", "_high")
-        else:
-            chain = chain.join(exits, SEGMENT, "left")
-        was_open = F.col("entry_low") != F.col("entry_high")
-        low = F.coalesce(F.lag("exit_low").over(order), F.col("entry_low"))
-        high = F.coalesce(F.lag("exit_high").over(order), F.col("entry_high"))
+        found = chain.join(exits.withColumnsRenamed({c: f"_{c}" for c in FOUND}), SEGMENT, "left")
+        ran = F.col("_moved").isNotNull()
+        for kept, now in zip([*FOLDED, *FOUND], [*entry, *(f"_{c}" for c in FOUND)]):
+            old = F.lit(None) if first_round else F.col(kept)
+            found = found.withColumn(kept, F.when(ran, F.col(now)).otherwise(old))
+        first_round = False
         chain = cut_lineage(
-            chain.withColumns(
+            found.drop(*(f"_{c}" for c in FOUND)).withColumns(
                 {
-                    "_new_low": F.when(was_open, low).otherwise(F.col("entry_low")),
-                    "_new_high": F.when(was_open, high).otherwise(F.col("entry_high")),
+                    "at": _moved_before(order),
+                    "entry_low": F.coalesce(F.lag("exit_low").over(order), F.col("entry_low")),
+                    "entry_high": F.coalesce(F.lag("exit_high").over(order), F.col("entry_high")),
                 }
             )
-            .withColumn(
-                "_moved",
-                (F.col("_new_low") != F.col("entry_low"))
-                | (F.col("_new_high") != F.col("entry_high")),
-            )
-            .drop("entry_low", "entry_high")
-            .withColumnsRenamed({"_new_low": "entry_low", "_new_high": "entry_high"})
         )
-        if chain.where(F.col("entry_low") != F.col("entry_high")).isEmpty():
+        # A segment that ends alike from the whole of a bracket ends so from any part of it.
+        covered = (
+            (F.col("torn") == 0)
+            & (F.col("exit_low") == F.col("exit_high"))
+            & (F.col("entry_low") >= F.col("folded_low"))
+            & (F.col("entry_high") <= F.col("folded_high"))
+        )
+        same = (F.col("entry_low") == F.col("folded_low")) & (
+            F.col("entry_high") == F.col("folded_high")
+        )
+        todo = chain.where((F.col("at") != F.col("folded_at")) | ~(same | covered))
+        if todo.isEmpty():
             return chain
-        # Only a segment whose entry narrowed and whose exit is still open can change.
-        todo = chain.where(F.col("_moved") & (F.col("exit_low") != F.col("exit_high")))
 
 
 def _entries(work: DataFrame, initial: DataFrame | None) -> DataFrame:
@@ -197,7 +194,7 @@ def _entries(work: DataFrame, initial: DataFrame | None) -> DataFrame:
     order = Window.partitionBy(*KEY).orderBy("segment")
     wide0 = _wide(0)
 
-    settled = _bracket(work, profile.where("safe"))
+    settled = _settle(work, profile.where("tame"))
     start = settled.select(
         *SEGMENT,
         F.col("at").cast("bigint").alias("entry_position"),
@@ -211,17 +208,17 @@ def _entries(work: DataFrame, initial: DataFrame | None) -> DataFrame:
         wacfold.fold_states,
         wacfold.STATE_SCHEMA,
     )
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     first = F.first(F.coalesce(F.col("first_pnl"), wide0)).over(order)
-    pnl_before = first + F.coalesce(
-        F.sum("realized_pnl").over(order.rowsBetween(Window.unboundedPreceding, -1)), wide0
-    )
-    episodes_before = F.coalesce(
-        F.sum("episode").over(order.rowsBetween(Window.unboundedPreceding, -1)), _zero()
-    )
+    pnl_before = first + F.coalesce(F.sum("realized_pnl").over(earlier), wide0)
+    episodes_before = F.coalesce(F.sum("episode").over(earlier), _zero())
+    # A segment whose trades were all refused leaves the id before it in force.
+    last_before = F.coalesce(F.last("last_transaction_id", ignorenulls=True).over(earlier),
+                             F.col("first_last_id"))
     stays = (
         (F.col("pnl_before") + F.col("low_pnl") >= _wide(-(2**63)))
         & (F.col("pnl_before") + F.col("high_pnl") < _wide(2**63))
-        & (F.col("rejected") == 0)
+        & (F.col("beyond") == 0)
     )
     checked = (
         deltas.join(
@@ -231,7 +228,9 @@ def _entries(work: DataFrame, initial: DataFrame | None) -> DataFrame:
             ),
             SEGMENT,
         )
-        .withColumns({"pnl_before": pnl_before, "episodes_before": episodes_before})
+        .withColumns(
+            {"pnl_before": pnl_before, "episodes_before": episodes_before, "last_before": last_before}
+        )
         .withColumn("stays", F.min(stays).over(Window.partitionBy(*KEY)))
     )
     checked = cut_lineage(checked)
@@ -240,7 +239,7 @@ def _entries(work: DataFrame, initial: DataFrame | None) -> DataFrame:
         F.col("at").cast("bigint").alias("entry_position"),
         F.col("entry_low").alias("entry_cost"),
         F.col("pnl_before").alias("entry_pnl"),
-        F.col("first_last_id").alias("entry_last_id"),
+        F.col("last_before").alias("entry_last_id"),
         F.col("episodes_before").alias("entry_episode"),
     )
     careful = profile.join(parallel.select(*KEY).distinct(), KEY, "left_anti")
@@ -250,7 +249,7 @@ def _entries(work: DataFrame, initial: DataFrame | None) -> DataFrame:
 
 
 def _one_by_one(work: DataFrame, profile: DataFrame) -> DataFrame:
-    """Entry states of keys near the 64-bit limit: one segment of every key per round."""
+    """Entry states of keys whose P&L leaves 64 bits: one segment of every key per round."""
     ordered = cut_lineage(
         profile.withColumn(
             "turn", F.row_number().over(Window.partitionBy(*KEY).orderBy("segment"))

@@ -158,6 +158,26 @@ def wac_state_with_poison(spark, sf):
     return wac.wac_state(_poisoned(spark, sf), sizing=V.trade_deliveries(spark, sf))
 
 
+@query(
+    "wac_hot_key_with_poison",
+    f"""with recursive {POISONED}, hot as (select id, tenant_id, 'ALL' as instrument,
+      case when id % 101 = 7 then 'HOLD' else side end as side, quantity, price from poisoned)
+    {S.trace('hot')}
+    select tenant_id, instrument, id, cast(pos as bigint) as "position",
+      cast(avg as bigint) as average_cost, cast(realized as bigint) as realized,
+      cast(pnl as bigint) as realized_pnl, problem from traced""",
+)
+def wac_hot_key_with_poison(spark, sf):
+    """A few keys hold everything, and most of their segments hold trades that cannot be applied."""
+    side = F.when(F.col("id") % 101 == 7, "HOLD").otherwise(F.col("side"))
+    trades = _poisoned(spark, sf).withColumns({"instrument": F.lit("ALL"), "side": side})
+    traced = wac.wac_trace(trades, segment_rows=20 * SEGMENT_ROWS)
+    return traced.select(
+        "tenant_id", "instrument", "id", "position", "average_cost", "realized", "realized_pnl",
+        "problem",
+    )
+
+
 @query(
     "position",
     f"""with {S.TRADES} select tenant_id, instrument,
