@@ -14,20 +14,24 @@ from ledgerloom.session import cut_lineage
 
 
 CELL_ROWS = 1_000_000
+LEAST_PART = 100_000  # rows; cells may be far smaller than what is worth a task
 
 
 def ranked_cells(
     rows: DataFrame, keys: list[str], order: list[str], cell_rows: int = CELL_ROWS, name: str = "_cell"
 ) -> DataFrame:
-    """Add ``name``, a number that never decreases along ``keys`` and ``order``, with about ``cell_rows`` rows each.
+    """Add ``name``, a number that never decreases along ``keys`` and ``order``, with at most ``cell_rows`` rows each.
 
-    Ranges of the whole order are the cells, so their size does not depend on how the values lie: a key
-    with most of the rows, or with all of them in one moment, is cut like any other. Ranges are drawn from a
-    sample; the result is written, so that every reader sees the same ones.
+    Ranges of the whole order are sorted and cut into cells by rank, so their size does not depend on how the
+    values lie: a key with most of the rows, or with all of them in one moment, is cut like any other. Ranges are
+    drawn from a sample; the result is written, so that every reader sees the same ones. It stays sorted, and a cell
+    is in one partition.
     """
-    parts = max(1, -(-rows.count() // cell_rows))
-    ranged = rows.repartitionByRange(parts, *keys, *order)
-    return cut_lineage(ranged.withColumn(name, F.spark_partition_id().cast("bigint")))
+    parts = max(1, -(-rows.count() // max(cell_rows, LEAST_PART)))
+    ranged = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id())  # the partition, and 33 bits for the row in it
+    cell = F.shiftright("_at", 33) * F.lit(2**32) + F.expr(f"(_at & {2**33 - 1}L) div {cell_rows}L")
+    return cut_lineage(placed.withColumn(name, cell).drop("_at"))
 
 
 def running_sum(

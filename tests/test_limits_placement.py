@@ -59,6 +59,50 @@ def test_calls_of_one_moment_are_cut_by_rank(spark, spread):
     assert [r.allowed for r in got] == expected
 
 
+def test_an_overloaded_bucket_takes_no_rounds_over_segments(spark, monkeypatch):
+    # One token in 1,000 s, a call every 130 s or so: never full again, so no segment forgets what it starts with.
+    rng = random.Random(6)
+    times, t = [], 0
+    for _ in range(600):
+        t += rng.randrange(260 * S)
+        times.append(t)
+    rows = spark.createDataFrame([("k", t, i) for i, t in enumerate(times)], "key string, ts_us bigint, call_id bigint")
+    written = []
+    cut = limits.cut_lineage
+    monkeypatch.setattr(limits, "cut_lineage", lambda df: written.append(df) or cut(df))
+    got = limits.rate_limit_verdicts(rows, Fraction(1, 1000), 3, segment_rows=10).orderBy("call_id").collect()
+    assert [r.allowed for r in got] == _bucket(times, Fraction(1, 1000), 3)
+    assert len(written) <= 3
+
+
+def test_small_cells_share_a_task(spark):
+    rows = spark.range(3_000).select(F.lit("hot").alias("k"), F.lit(5).alias("t"), "id")
+    cells = prefix.ranked_cells(rows, ["k"], ["t", "id"], 10)
+    assert cells.rdd.getNumPartitions() <= 2
+    assert cells.groupBy("_cell").agg(F.count("*").alias("n")).where("n > 10").isEmpty()
+
+
+def test_what_a_segment_makes_of_every_entry():
+    rng = random.Random(9)
+    for _ in range(300):
+        unit, burst = rng.choice([1, 5, 12]), rng.randrange(1, 6)
+        full = unit * burst
+        gains = [0] + [
+            rng.choice([0, 1, rng.randrange(2 * unit), rng.randrange(full + 5) if rng.random() < 0.1 else 0])
+            for _ in range(40)
+        ]
+        pieces = [(0, 0, True)]
+        for gained in gains:
+            pieces = limits.bucketfold.after_call(pieces, gained, unit, full)
+        for entry in range(full + 1):
+            tokens = entry
+            for gained in gains:
+                tokens = min(full, tokens + gained)
+                tokens -= unit * (tokens >= unit)
+            start, value, moves = [p for p in pieces if p[0] <= entry][-1]
+            assert tokens == value + (entry - start) * moves
+
+
 def test_ranked_cells_hold_few_rows_whatever_the_clock(spark):
     rows = spark.range(6_000).select(F.lit("hot").alias("k"), F.lit(5).alias("t"), "id").union(
         spark.range(500).select(F.concat(F.lit("k"), F.col("id") % 7), F.col("id").cast("int"), "id")
