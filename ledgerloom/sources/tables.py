@@ -56,7 +56,8 @@ def assign_ids(records: DataFrame, first_id: int) -> DataFrame:
 
     Every partition gets a block of ids as wide as its span of offsets, so a
     row's id is its block plus its offset: unique, rising along each partition,
-    with gaps, and without sorting the rows. Blocks are one row per partition.
+    with gaps, and without sorting the rows. Blocks are one row per partition, so they
+    are broadcast: by their partition, the rows would meet in as few tasks.
     """
     spans = records.groupBy("topic", "partition").agg(
         F.min("offset").alias("_low"), (F.max("offset") - F.min("offset") + 1).alias("_span")
@@ -65,7 +66,7 @@ def assign_ids(records: DataFrame, first_id: int) -> DataFrame:
     block = F.lit(first_id) + F.coalesce(F.sum("_span").over(earlier), F.lit(0))
     blocks = spans.withColumn("_block", block).drop("_span")
     return (
-        records.join(blocks, ["topic", "partition"])
+        records.join(F.broadcast(blocks), ["topic", "partition"])
         .withColumn("id", F.col("_block") + F.col("offset") - F.col("_low"))
         .drop("_block", "_low")
     )
