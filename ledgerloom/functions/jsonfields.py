@@ -11,8 +11,6 @@ repeated key the last value counts on both ways.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.binding import evaluated, let
@@ -41,12 +39,10 @@ def _usual(text: Column, integers: list[str]) -> Column:
 def _read_any(text: Column, strings: list[str], integers: list[str]) -> Column:
     names = [*strings, *integers]
 
-    def same_key(n: str):
-        return lambda e: e["k"] == n
-
-    def wrong_type(n: str):
-        accepted = "STRING" if n in strings else "BIGINT"
-        return lambda e: (e["k"] == n) & ~e["t"].isin("VOID", accepted)
+    # One pass over the entries for all wanted names.
+    def wrong_type(e: Column) -> Column:
+        accepted = F.when(e["k"].isin(names[: len(strings)]), "STRING").otherwise("BIGINT")
+        return ~e["t"].isin("VOID") & (e["t"] != accepted)
 
     def parse(t: Column) -> Column:
         in_object = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
@@ -73,18 +69,22 @@ def _read_any(text: Column, strings: list[str], integers: list[str]) -> Column:
         )
 
     def pick(d: Column) -> Column:
-        entries = d["entries"]
-        checks = [
-            (F.size(F.filter(entries, same_key(n))) <= 1) & ~F.exists(entries, wrong_type(n))
-            for n in names
-        ]
+        wanted = F.filter(d["entries"], lambda e: e["k"].isin(names))
+        return F.struct(
+            wanted.alias("entries"), F.transform(wanted, lambda e: e["k"]).alias("keys"),
+            d["kind"].alias("kind"), d["whole"].alias("whole"),
+        )
+
+    def judge(d: Column) -> Column:
+        once = F.size(F.array_distinct(d["keys"])) == F.size(d["keys"])
         well_typed = F.when(d["kind"] == "VOID", F.lit(True)).otherwise(
-            F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+            F.coalesce(once & ~F.exists(d["entries"], wrong_type), F.lit(False))
         )
         problem = F.when(~well_typed, MALFORMED).when(~d["whole"], TRAILING)
 
         def field(n: str) -> Column:
-            return F.try_element_at(F.filter(entries, same_key(n)), F.lit(1))["s"]
+            # No such key: its place is 0, and there is nothing at -1.
+            return F.get(d["entries"], F.array_position(d["keys"], n).cast("int") - 1)["s"]
 
         return F.struct(
             F.when(d["kind"].isNull(), MALFORMED).otherwise(problem).alias("json_problem"),
@@ -92,7 +92,7 @@ def _read_any(text: Column, strings: list[str], integers: list[str]) -> Column:
             *[field(n).try_cast("bigint").alias(n) for n in integers],
         )
 
-    return let(let(let(text, parse), describe), pick)
+    return let(let(let(let(text, parse), describe), pick), judge)
 
 
 def read_object(df: DataFrame, text: str, strings: list[str], integers: list[str] = ()) -> DataFrame:
