@@ -15,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 from ledgerloom.operators.dedupe import new_events
 from ledgerloom.schemas import DLQ, RECONCILED_STATE, TRANSACTIONS
 
+COMPRESSION = "zstd"  # ledger, letters and topic files hold long JSON texts
 KEY = ["tenant_id", "instrument"]
 VALUES = ["position", "average_cost", "realized_pnl", "last_transaction_id", "updated_at"]
 
@@ -48,7 +49,7 @@ def read_letters(spark: SparkSession, path: str) -> DataFrame:
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Replace one batch's folder, so a replayed batch leaves no second copy."""
-    rows.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    rows.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={batch_id}", compression=COMPRESSION)
 
 
 def assign_ids(records: DataFrame, first_id: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.functions.amounts import format_amount
 from ledgerloom.functions.text import format_rfc3339, partition_key
 from ledgerloom.schemas import TOPIC_RECORD, TYPED_EVENT
+from ledgerloom.sources.tables import COMPRESSION
 
 COLUMNS = ["topic", "partition", "offset", "key", "value", "timestamp"]
 
@@ -164,4 +165,4 @@ def publish_trades(trades: DataFrame, brokers: str, topic: str, checkpoint: str
 
 def publish_files(records: DataFrame, folder: str) -> None:
     """Write topic records as files that ``read_trade_files`` reads back."""
-    records.select(*COLUMNS).write.mode("append").parquet(folder)
+    records.select(*COLUMNS).write.mode("append").parquet(folder, compression=COMPRESSION)
