@@ -74,10 +74,16 @@ def assign_ids(records: DataFrame, first_id: int) -> DataFrame:
 
 
 def append_transactions(
-    batch: DataFrame, ledger: DataFrame, first_id: int, received_at
+    batch: DataFrame, ledger: DataFrame, first_id: int, received_at, keep_place: bool = True
 ) -> DataFrame:
-    """Ledger rows of the events the ledger does not hold yet, ids assigned in arrival order."""
-    fresh = new_events(assign_ids(batch, first_id), ledger, ["id"])
+    """Ledger rows of the events the ledger does not hold yet, ids assigned in arrival order.
+
+    Without ``keep_place`` topic, partition and offset, for which the id stands, go no further.
+    """
+    numbered = assign_ids(batch, first_id)
+    if not keep_place:
+        numbered = numbered.drop("topic", "partition", "offset")
+    fresh = new_events(numbered, ledger, ["id"])
     return fresh.withColumn("received_at", received_at)
 
 

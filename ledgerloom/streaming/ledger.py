@@ -3,6 +3,11 @@
 Every micro-batch writes one folder per output under its batch id. A batch that
 is replayed after a failure overwrites its own folders and ignores what they
 held, so nothing is applied twice and nothing is lost.
+
+A record is decoded once: what was found is written to a folder that the next batch
+overwrites, and every later step reads from it the columns it needs. Executors hold no
+rows between steps. The text of a record goes on only if the record failed; de-duplication,
+the ledger and the fold carry the decoded trade.
 """
 
 from __future__ import annotations
@@ -10,16 +15,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators import dlq, validate, wac
-from ledgerloom.schemas import DLQ
+from ledgerloom.schemas import DLQ, TRADE_EVENT, TRANSACTIONS
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources import tables
 
 # Every so many batches the state is written whole, and older changes are not read again.
 SNAPSHOT_EVERY = 100
+# So many refused trades are broadcast to find their records; beyond that the records are shuffled.
+KNOWN_REFUSED = 100_000
+PLACE = ["topic", "partition", "offset"]
+TEXT = ["key", "value"]
+EVENT = [f.split(" ")[0] for f in TRADE_EVENT.split(", ")]
+WRITTEN = [f.split(" ")[0] for f in TRANSACTIONS.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -44,6 +55,11 @@ class Folders:
     def marks(self) -> str:
         return f"{self.root}/marks"
 
+    @property
+    def checked(self) -> str:
+        """The decoded records of the batch at work."""
+        return f"{self.root}/checked"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -66,6 +82,32 @@ def next_id(spark: SparkSession, folders: Folders, batch_id: int) -> int:
     return 0 if newest is None else newest["next_id"]
 
 
+def _checked(batch: DataFrame, folders: Folders) -> DataFrame:
+    """The decoded records of a batch, read from where they are written; of good ones without key and text."""
+    decoded = validate.ledger_checks(validate.decode_wire(batch))
+    failed = F.col("reason").isNotNull() | F.col("check_reason").isNotNull()
+    decoded = decoded.select(
+        *PLACE, *[F.when(failed, F.col(c)).alias(c) for c in TEXT], *EVENT, "reason", "check_reason"
+    )
+    decoded.write.mode("overwrite").parquet(folders.checked, compression=tables.COMPRESSION)
+    return batch.sparkSession.read.schema(decoded.schema).parquet(folders.checked)
+
+
+def _refused_letters(batch: DataFrame, numbered: DataFrame, refused: DataFrame, now: Column) -> DataFrame:
+    """Letters of the trades that ``refused`` names by id, with key and text of their records."""
+    refused = cut_lineage(refused)
+    few = refused.count() <= KNOWN_REFUSED
+
+    def side(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
+    places = numbered.select("id", *PLACE).distinct().join(side(refused), "id")
+    records = batch.join(side(places.select(*PLACE)), PLACE, "left_semi")
+    text = F.min(F.struct(*TEXT)).alias("text")
+    found = records.groupBy(*PLACE).agg(text).select(*PLACE, "text.*")
+    return dlq.route_reconcile_failures(places.join(found, PLACE), now)
+
+
 def apply_batch(
     batch: DataFrame, batch_id: int, folders: Folders, segment_rows: int = wac.SEGMENT_ROWS,
     letter_sink: Callable[[DataFrame, int], None] | None = None,
@@ -76,49 +118,39 @@ def apply_batch(
     """
     spark = batch.sparkSession
     now = F.current_timestamp()
-    decoded = validate.ledger_checks(validate.decode_wire(batch)).persist(
-        StorageLevel.MEMORY_AND_DISK
+    checked = _checked(batch, folders)
+    good = checked.where("reason is null and check_reason is null").select(*PLACE, *EVENT)
+    held = tables.read_transactions(spark, folders.ledger).where(F.col("batch") < batch_id)
+    first_id = next_id(spark, folders, batch_id)
+    fresh = tables.append_transactions(good, held, first_id, now, keep_place=False)
+    tables.write_batch(fresh.select(*WRITTEN), folders.ledger, batch_id)
+    appended = spark.read.parquet(f"{folders.ledger}/batch={batch_id}")
+    highest = F.coalesce(F.max("id") + 1, F.lit(first_id)).cast("bigint").alias("next_id")
+    tables.write_batch(appended.agg(highest), folders.marks, batch_id)
+
+    state = state_before(spark, folders, batch_id)
+    touched = state.join(appended.select(*wac.KEY).distinct(), wac.KEY, "left_semi")
+    changes = wac.state_changes(appended, touched, segment_rows=segment_rows).withColumn(
+        "updated_at", now
     )
-    try:
-        good = decoded.where("reason is null and check_reason is null").drop(
-            "reason", "check_reason"
-        )
-        held = tables.read_transactions(spark, folders.ledger).where(F.col("batch") < batch_id)
-        first_id = next_id(spark, folders, batch_id)
-        fresh = tables.append_transactions(good, held, first_id, now)
-        written = [f.split(" ")[0] for f in tables.TRANSACTIONS.split(", ")]
-        located = ["topic", "partition", "offset", "key", "value"]
-        tables.write_batch(fresh.select(*written, *located), folders.ledger, batch_id)
-        appended = spark.read.parquet(f"{folders.ledger}/batch={batch_id}")
-        highest = F.coalesce(F.max("id") + 1, F.lit(first_id)).cast("bigint").alias("next_id")
-        tables.write_batch(appended.agg(highest), folders.marks, batch_id)
-
-        state = state_before(spark, folders, batch_id)
-        touched = state.join(appended.select(*wac.KEY).distinct(), wac.KEY, "left_semi")
-        changes = wac.state_changes(appended, touched, segment_rows=segment_rows).withColumn(
-            "updated_at", now
-        )
-        if batch_id % SNAPSHOT_EVERY == 0:
-            none = F.lit(0).cast("bigint")
-            rejected = changes.select(*wac.KEY, "rejected")
-            changes = tables.upsert_state(state, changes).join(rejected, wac.KEY, "left")
-            changes = changes.withColumn("rejected", F.coalesce("rejected", none))
-        tables.write_batch(changes, folders.state, batch_id)
-
-        letters = dlq.dead_letters(decoded, now)
-        written_state = spark.read.parquet(f"{folders.state}/batch={batch_id}")
-        if not written_state.where("rejected > 0").isEmpty():
-            refused = wac.wac_trace(appended, touched, segment_rows=segment_rows).where(
-                "problem is not null"
-            ).select("id", F.col("problem").alias("check_reason"))
-            letters = letters.unionByName(
-                dlq.route_reconcile_failures(appended.join(refused, "id"), now)
-            )
-        tables.write_batch(letters, folders.letters, batch_id)
-        if letter_sink is not None:
-            letter_sink(spark.read.schema(DLQ).parquet(f"{folders.letters}/batch={batch_id}"), batch_id)
-    finally:
-        decoded.unpersist()
+    if batch_id % SNAPSHOT_EVERY == 0:
+        none = F.lit(0).cast("bigint")
+        rejected = changes.select(*wac.KEY, "rejected")
+        changes = tables.upsert_state(state, changes).join(rejected, wac.KEY, "left")
+        changes = changes.withColumn("rejected", F.coalesce("rejected", none))
+    tables.write_batch(changes, folders.state, batch_id)
+
+    letters = dlq.dead_letters(checked, now)
+    written_state = spark.read.parquet(f"{folders.state}/batch={batch_id}")
+    if not written_state.where("rejected > 0").isEmpty():
+        refused = wac.wac_trace(appended, touched, segment_rows=segment_rows).where(
+            "problem is not null"
+        ).select("id", F.col("problem").alias("check_reason"))
+        numbered = tables.assign_ids(good, first_id)
+        letters = letters.unionByName(_refused_letters(batch, numbered, refused, now))
+    tables.write_batch(letters, folders.letters, batch_id)
+    if letter_sink is not None:
+        letter_sink(spark.read.schema(DLQ).parquet(f"{folders.letters}/batch={batch_id}"), batch_id)
 
 
 def start_ledger_stream(

@@ -1,6 +1,8 @@
 """Work that must not be done twice, or in few tasks, however large the tables are."""
 
+import json
 from datetime import datetime
+from uuid import UUID
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import jsonfields
 from ledgerloom.operators import validate
 from ledgerloom.plans import ledger_queries, stream_queries, views
+from ledgerloom.schemas import TOPIC_RECORD
 from ledgerloom.sources import tables
+from ledgerloom.streaming import ledger
 
 LINES = (
     "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
@@ -77,3 +81,32 @@ def test_entries_of_an_object_are_searched_once_for_all_fields(spark):
         (None, "BUY", None, ""), ("malformed", "5", None, ""), ("malformed", "SELL", None, ""), (None, "", 2, ""),
         (None, "", None, ""), ("malformed", "", None, ""), ("malformed", "", None, ""),
     ]
+
+
+def test_a_batch_is_not_held_by_executors_and_its_texts_stay_out_of_the_ledger(spark, tmp_path):
+    body = {
+        "tenant_id": "t", "schema_version": 1, "instrument": "AAPL", "side": "BUY", "currency": "USD",
+        "quantity": "1", "price": "2", "occurred_at": "2026-01-01T00:00:00Z",
+    }
+    wrong = [{}, {"quantity": "x"}, {"side": "HOLD"}, {"quantity": "9000000000", "price": "9000000000"}]
+    records = [
+        ("trades", 0, i, f"t:{i}", json.dumps(body | {"event_id": str(UUID(int=i))} | other), None)
+        for i, other in enumerate(wrong)
+    ]
+    # The record that the fold refuses comes twice.
+    records.append(records[-1])
+    folders, held = ledger.Folders(str(tmp_path)), []
+
+    def sink(letters, _):
+        held.append(len(spark.sparkContext._jsc.getPersistentRDDs()))
+
+    batch = spark.createDataFrame(records, TOPIC_RECORD)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    ledger.apply_batch(batch, 0, folders, letter_sink=sink)
+    assert held == [before]
+    assert not {"key", "value"} & set(spark.read.parquet(f"{folders.ledger}/batch=0").columns)
+    found = tables.read_letters(spark, folders.letters).collect()
+    assert sorted((r.original_offset, r.key, r.payload, r.attempts) for r in found) == [
+        (i, records[i][3], records[i][4], 1 if i == 1 else 4) for i in (1, 2, 3)
+    ]
+    assert tables.read_transactions(spark, folders.ledger).count() == 2
