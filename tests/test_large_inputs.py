@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import jsonfields
-from ledgerloom.operators import validate
+from ledgerloom.operators import validate, wac
 from ledgerloom.plans import ledger_queries, stream_queries, views
 from ledgerloom.schemas import TOPIC_RECORD
 from ledgerloom.sources import tables
@@ -110,3 +110,25 @@ def test_a_batch_is_not_held_by_executors_and_its_texts_stay_out_of_the_ledger(s
         (i, records[i][3], records[i][4], 1 if i == 1 else 4) for i in (1, 2, 3)
     ]
     assert tables.read_transactions(spark, folders.ledger).count() == 2
+
+
+@pytest.mark.parametrize("block_rows", [10**6, 60])
+def test_trades_of_long_keys_are_made_once_and_shuffled_once(spark, monkeypatch, block_rows):
+    made = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        made.add(1)
+        return "t", f"P{i % 7 % 2}", i, "BUY" if i % 3 else "SELL", 10**8 * (1 + i % 5), 10**8 * (1 + i % 11)
+
+    schema = "tenant_id string, instrument string, id bigint, side string, quantity bigint, price bigint"
+    monkeypatch.setattr(wac, "BLOCK_ROWS", block_rows)
+    sizing = spark.createDataFrame([("t", f"P{i % 7 % 2}") for i in range(300)], schema.split(", id")[0])
+    trades = spark.createDataFrame(spark.sparkContext.parallelize(range(300), 2).map(row), schema)
+    traced = wac.wac_trace(trades, sizing=sizing, segment_rows=8)
+    if block_rows > 300:
+        # One for the usual keys, one for the long ones.
+        assert _plan(traced).count("RepartitionByExpression") == 2
+    found = sorted(map(tuple, traced.drop("opened").collect()))
+    assert made.value == 300
+    whole = wac.wac_trace(trades).drop("opened")
+    assert found == sorted(map(tuple, whole.collect()))
